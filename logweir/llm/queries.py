@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import best_fit, packing
 from .common import table
 from .near_dup import NearDuplicates
+from .quality import quality
+from .token_count import token_counts
+from .toxicity import toxicity
+
+
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from preferences between labelled ones."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id rows of all documents, best fit decreasing."""
+    return best_fit.digest(best_fit.pack_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +28,23 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(k=3, percent=85).groups(table(spark, sf_dir, "documents"))
 
 
+def op6_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens, in order."""
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by noisy-or over its sentences."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op5_superminhash": op5_superminhash}
+    return {f.__name__: f for f in (op1_bradley_terry, op3_best_fit, op5_superminhash, op6_dp_packing, op7_resync, op9_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -158,7 +159,7 @@ class WordBpe(dict):
             self.reset()
         words = [t.split() for t in texts]
         n = sum(map(len, words))
-        rows = np.fromiter((r for w in words for r in map(self.__getitem__, w)), np.int64, n)
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
         flat, start, size, stop = self._grown()
         lens = size[rows]
         ends = np.cumsum(lens)
