@@ -303,3 +303,16 @@ class NearDuplicates:
         out = t1.select("doc_id", "n_shingles", "node").join(of, "node", "left")
         cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+    def deduplicate(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs that stay: the least doc_id of each group, once, and rows with a null id.
+
+        Of an id's different texts all stay if one does; rows that repeat id and text become one.
+        """
+        kept = self.groups(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
+        kept = Workspace(docs.sparkSession, "near_dup").stage(kept, "kept")
+        once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+        if not kept.where("rows > 1").isEmpty():
+            again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+            once = once.unionAll(again.dropDuplicates(["doc_id", "text"]))
+        return once.unionAll(docs.where("doc_id IS NULL")).select(docs.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, packing
+from . import best_fit, packing, secrets
 from .common import table
+from .decontam import Decontaminator
 from .near_dup import NearDuplicates
 from .quality import quality
 from .token_count import token_counts
@@ -18,6 +19,11 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return Decontaminator().find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id rows of all documents, best fit decreasing."""
     return best_fit.digest(best_fit.pack_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
@@ -38,13 +44,18 @@ def op7_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by noisy-or over its sentences."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bradley_terry, op3_best_fit, op5_superminhash, op6_dp_packing, op7_resync, op9_noisy_or)}
+    return {f.__name__: f for f in (op1_bradley_terry, op2_qgram, op3_best_fit, op5_superminhash, op6_dp_packing, op7_resync, op8_zstd_novelty, op9_noisy_or)}
 
 
 def oracle_sql() -> dict[str, str]:

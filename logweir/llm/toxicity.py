@@ -118,7 +118,7 @@ def train(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.
 SCORES = "doc_id long, score double, n_toxic_sentences int, worst_start int, worst_score double"
 
 
-def _apply(shared, columns: int):
+def _apply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
@@ -146,7 +146,23 @@ class ToxicityClassifier:
     def score(self, docs: DataFrame) -> DataFrame:
         """A row per row of docs: doc_id, score, and where it offends most. Null and empty texts score 0."""
         shared = docs.sparkSession.sparkContext.broadcast(self.model)
-        return id_text(docs).mapInArrow(_apply(shared, 5), SCORES)
+        return id_text(docs).mapInArrow(_apply(shared), SCORES)
+
+
+    def clean(self, docs: DataFrame, at: float = 0.3) -> DataFrame:
+        """docs without those that score ``at`` or more; all other rows and all columns stay."""
+        shared = docs.sparkSession.sparkContext.broadcast(self.model)
+        return docs.mapInArrow(_keep(shared, at), docs.schema)
+
+
+def _keep(shared, at: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([model.score(t or "")[0] < at for t in texts], pa.bool_()))
+
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
