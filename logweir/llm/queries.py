@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import best_fit, packing, secrets
 from .common import table
 from .decontam import Decontaminator
+from .embed_dup import EmbeddingNeighbours
 from .near_dup import NearDuplicates
 from .quality import quality
 from .token_count import token_counts
@@ -54,8 +55,13 @@ def op9_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings of a label at a cosine of 0.93 or more."""
+    return EmbeddingNeighbours().links(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bradley_terry, op2_qgram, op3_best_fit, op5_superminhash, op6_dp_packing, op7_resync, op8_zstd_novelty, op9_noisy_or)}
+    return {f.__name__: f for f in (op1_bradley_terry, op2_qgram, op3_best_fit, op5_superminhash, op6_dp_packing, op7_resync, op8_zstd_novelty, op9_noisy_or, op10_nn_descent)}
 
 
 def oracle_sql() -> dict[str, str]:
