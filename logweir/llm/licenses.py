@@ -9,6 +9,7 @@ and an n-gram's weight is looked up by its crc32.
 
 from __future__ import annotations
 
+import json
 import operator
 import re
 import zlib
@@ -128,6 +129,11 @@ def has_anchor(text: Column) -> Column:
     return F.exists(F.transform(F.array(text), F.lower), lambda low: reduce(operator.or_, (low.contains(a) for a in ANCHORS)))
 
 
+def _constant(values: list, kind: str) -> Column:
+    """An array that the optimiser folds into one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_notices, families (distinct, sorted), notices: an array of
     (paragraph from 0, family, probability, overlap). Paragraphs are lines.
@@ -138,8 +144,8 @@ def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = No
     n = len(model.families)
     used = np.flatnonzero(np.abs(model.weights).max(axis=0) > 1e-4)
     rank = {int(s): i + 1 for i, s in enumerate(used)}  # a small table: slot -> row, 0: no weight
-    where = F.lit(np.array([rank.get(s, 0) for s in range(DIMS)], np.int32))
-    tables = [F.lit(np.append(0.0, model.weights[f, used])) for f in range(n)]
+    where = _constant([rank.get(s, 0) for s in range(DIMS)], "int")
+    tables = [_constant([0.0, *model.weights[f, used].tolist()], "double") for f in range(n)]
 
     def adds(weights: Column):
         return lambda s, i: s + F.element_at(weights, i)
