@@ -20,6 +20,7 @@ from .near_dup import mix
 
 BITS = 18
 GRAMS = (5, 7)  # bytes
+START = -10.0  # bias before learning: a calm sentence hardly counts, so thousands of them do not add up
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?\n"]] = True
 
@@ -70,33 +71,36 @@ class ToxicityModel:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int((p >= 0.3).sum()), int(at[worst]), float(p[worst])
 
 
-def train(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5, l2: float = 1e-4, zmin: float = 4.0) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5, l2: float = 1e-4, zmin: float = 5.5) -> ToxicityModel:
     """Adagrad on the noisy-or's log loss, over n-grams whose share of documents differs between
     the classes by zmin standard errors. Without both classes: the base rate alone, as a bias."""
     y = np.array(labels, float)
     size = 1 << BITS
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(len(GRAMS) * size), 4.0 if len(y) and y[0] else -12.0)
-    feats, insts, bags, n = [], [], [], 0
     df = np.zeros((2, len(GRAMS) * size))
     for k, t in enumerate(texts):
+        df[labels[k], np.unique(grams(t)[0])] += 1
+    total = np.array([[(y == 0).sum()], [(y == 1).sum()]])
+    rate_of, whole = df / total, df.sum(axis=0) / total.sum()
+    error = np.sqrt((whole * (1 - whole) + 1e-9) * (1 / total).sum())
+    keep = np.abs(rate_of[1] - rate_of[0]) / error >= zmin
+    feats, insts, bags, n = [], [], [], 0
+    for k, t in enumerate(texts):  # once more: only what is kept takes memory
         ids, at = grams(t)
         if not len(at):
             continue
-        df[labels[k], np.unique(ids)] += 1
         inst = np.repeat(np.arange(len(at)), np.diff(np.append(at, ids.shape[1]))) + n
-        feats.append(ids.ravel())
-        insts.append(np.tile(inst, len(GRAMS)).astype(np.int32))
+        for row in ids:
+            feats.append(row[keep[row]])
+            insts.append(inst[keep[row]].astype(np.int32))
         bags.append(np.full(len(at), k))
         n += len(at)
+    if not bags:
+        return ToxicityModel(np.zeros(len(GRAMS) * size), -12.0)
     f, inst, bag = np.concatenate(feats), np.concatenate(insts), np.concatenate(bags)
-    total = np.array([[(y == 0).sum()], [(y == 1).sum()]])
-    rate_of, whole = df / total, df.sum(axis=0) / total.sum()
-    error = np.sqrt((whole * (1 - whole) + 1e-9) * (1 / total).sum())
-    keep = (np.abs(rate_of[1] - rate_of[0]) / error >= zmin)[f]
-    f, inst = f[keep], inst[keep]
     used, f = np.unique(f, return_inverse=True)
-    w, gw, b, gb = np.zeros(len(used)), np.full(len(used), 1e-6), -6.0, 1e-6
+    w, gw, b, gb = np.zeros(len(used)), np.full(len(used), 1e-6), START, 1e-6
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for _ in range(steps):
         z = np.clip(np.bincount(inst, w[f], n) + b, -30, 30)
@@ -131,7 +135,7 @@ def _apply(shared):
 class ToxicityClassifier:
     """per_class, max_chars: the learning sample's documented bounds (documents of each label; their length)."""
 
-    def __init__(self, per_class: int = 1500, max_chars: int = 40_000):
+    def __init__(self, per_class: int = 3000, max_chars: int = 40_000):
         self.per_class, self.max_chars, self.model = per_class, max_chars, None
 
     def fit(self, docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> ToxicityClassifier:
