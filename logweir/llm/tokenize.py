@@ -27,7 +27,7 @@ GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 MARK = b"\xff"  # never part of UTF-8: stands for the end of a word
 SAFE = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ‐-‧€]*")  # not 1C-1F and 85: kinds of white space differ
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\\[-`{-~]*)")  # a word, and marks but for ' and <
-WORD_MEMO = 500_000
+WORD_MEMO = 1_000_000
 
 
 def byte_chars() -> dict[str, int]:
