@@ -104,9 +104,11 @@ def train(seed: int = 11, copies: int = 16, steps: int = 400) -> LicenceModel:
     x, y = np.zeros((len(rows), DIMS)), np.array(y)
     for i, r in enumerate(rows):
         x[i, r] = 1
+    used = np.flatnonzero(x.any(axis=0))  # the other slots never get a weight
+    x = x[:, used]
     fold = rng.random(len(y)) < 0.2
     goal = np.eye(len(families))[y]
-    w, b = np.zeros((DIMS, len(families))), np.zeros(len(families))
+    w, b = np.zeros((len(used), len(families))), np.zeros(len(families))
     xt, gt = x[~fold], goal[~fold]
     for _ in range(steps):
         z = xt @ w + b
@@ -122,7 +124,9 @@ def train(seed: int = 11, copies: int = 16, steps: int = 400) -> LicenceModel:
 
     t = min((0.25 * 1.15**k for k in range(24)), key=loss)
     templates = tuple(tuple(tuple(sorted(set(words(x)))) for x in TEMPLATES.get(f, [])) for f in families)
-    return LicenceModel(families, (w * t).T.copy(), b * t, templates)
+    full = np.zeros((len(families), DIMS))
+    full[:, used] = (w * t).T
+    return LicenceModel(families, full, b * t, templates)
 
 
 def has_anchor(text: Column) -> Column:
