@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, rebatch
+from .common import id_text, prepare, rebatch, tidy
 from .tokenize import word_bpe
 
 BLOCK = 1 << 20  # tokens packed at once
@@ -111,8 +111,9 @@ def _pack(path: str, width: int, end_id: int, pad_id: int):
                     pieces, held = [], 0
         if pieces:
             yield from flush(pieces)
+        bpe.reset()
 
-    return run
+    return tidy(run)
 
 
 def pack_rows(docs: DataFrame, path: str, width: int = 2048, end_id: int = 1, pad_id: int = 0) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare
+from .common import id_text, prepare, tidy
 from .near_dup import mix
 
 Q = 8  # bytes: a q-gram is one 64-bit number
@@ -155,7 +155,7 @@ def _find(shared):
             spans = [",".join(f"{items.ids[m]}:{s}:{e}" for m, s, e in g) for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(g) for g in got], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.string())], names=["doc_id", "contaminated", "item_ids", "spans"])
 
-    return run
+    return tidy(run)
 
 
 class Decontaminator:
@@ -209,4 +209,4 @@ def _keep(shared):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([not items.found(t or "") for t in texts], pa.bool_()))
 
-    return run
+    return tidy(run)

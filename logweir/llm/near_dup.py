@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, id_text, prepare, rebatch
+from .common import Workspace, id_text, prepare, rebatch, tidy
 from .components import connected_components
 
-MEMO = 400_000  # words whose hashes a worker remembers
+MEMO = 200_000  # words whose hashes a worker remembers
 GOLD = 0x9E3779B97F4A7C15
 MUL = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D], dtype=np.uint64)
 
@@ -134,8 +134,9 @@ def _sketch(k: int, bands: int, rows: int, elements: int = 400_000):
                     ids, sets, held = [], [], 0
             if ids:
                 yield out(ids, sets)
+        _words.clear()
 
-    return run
+    return tidy(run)
 
 
 def _confirm(k: int, percent: int):
@@ -162,8 +163,9 @@ def _confirm(k: int, percent: int):
                 if 100 * both >= percent * (len(s) + len(v) - both):
                     got.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        _words.clear()
 
-    return run
+    return tidy(run)
 
 
 UNIT = "key long, band int, u int, v int, own int, node binary, comp binary, sig binary, bands array<long>"

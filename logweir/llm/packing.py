@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, rebatch
+from .common import id_text, prepare, rebatch, tidy
 from .tokenize import word_bpe
 
 SENTENCE, WORD_CUT = 24.0, 96.0  # penalties, in padding tokens
@@ -169,8 +169,9 @@ def _pack(path: str, window: int, end_id: int):
             for rows in p.add(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 yield from out(rows)
         yield from out(p.rest())
+        p.bpe.reset()
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare
+from .common import id_text, prepare, tidy
 
 # The base rules, as the contract states them.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -132,7 +132,7 @@ def _scan(least: float):
             kinds_ = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds_, strict=True))], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return run
+    return tidy(run)
 
 
 def find_secrets(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -151,7 +151,7 @@ def _redact(least: float):
             texts = [t and redact(t, scan(t, least)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, pa.string()))
 
-    return run
+    return tidy(run)
 
 
 def redact_secrets(docs: DataFrame, least: float = 0.8) -> DataFrame:

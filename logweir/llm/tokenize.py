@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -27,7 +28,7 @@ GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 MARK = b"\xff"  # never part of UTF-8: stands for the end of a word
 SAFE = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ‐-‧€]*")  # not 1C-1F and 85: kinds of white space differ
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\\[-`{-~]*)")  # a word, and marks but for ' and <
-WORD_MEMO = 1_000_000
+WORD_MEMO = 600_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -120,9 +121,7 @@ class WordBpe(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.flat, self.start, self.size, self.stop = [], [], [], []
-        self.tables = [np.empty(1 << 16, np.int64) for _ in range(4)]
-        self.held = [0] * 4
+        self.flat, self.start, self.size, self.stop = array("i"), array("q"), array("i"), array("b")
 
     def word(self, word: bytes) -> list[int]:
         text = word.decode()
@@ -144,15 +143,6 @@ class WordBpe(dict):
         self.flat.extend(ids)
         return row
 
-    def _grown(self) -> list[np.ndarray]:
-        """The lists as arrays; only what is new since the last call is copied."""
-        for i, x in enumerate((self.flat, self.start, self.size, self.stop)):
-            if len(x) > len(self.tables[i]):
-                self.tables[i] = np.concatenate([self.tables[i], np.empty(len(x), np.int64)])
-            self.tables[i][self.held[i] : len(x)] = x[self.held[i] :]
-            self.held[i] = len(x)
-        return self.tables
-
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """UTF-8 texts -> ids of all one after another; tokens of each text; word lengths; word ends a sentence."""
         if len(self) > WORD_MEMO:
@@ -160,8 +150,9 @@ class WordBpe(dict):
         words = [t.split() for t in texts]
         n = sum(map(len, words))
         rows = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
-        flat, start, size, stop = self._grown()
-        lens = size[rows]
+        flat, size, stop = (np.frombuffer(x, k) if len(x) else np.zeros(0, k) for x, k in ((self.flat, np.int32), (self.size, np.int32), (self.stop, np.int8)))
+        start = np.frombuffer(self.start, np.int64) if len(self.start) else np.zeros(0, np.int64)
+        lens = size[rows].astype(np.int64)
         ends = np.cumsum(lens)
         where = np.arange(int(lens.sum())) + np.repeat(start[rows] - (ends - lens), lens)
         per = np.fromiter(map(len, words), np.int64, len(words))

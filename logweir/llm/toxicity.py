@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, labelled_sample, prepare
+from .common import held_out, id_text, labelled_sample, prepare, tidy
 from .near_dup import mix
 
 BITS = 18
@@ -129,7 +129,7 @@ def _apply(shared):
             got = [model.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], k) for i, k in enumerate((pa.float64(), pa.int32(), pa.int32(), pa.float64())))], names=["doc_id", "score", "n_toxic_sentences", "worst_start", "worst_score"])
 
-    return run
+    return tidy(run)
 
 
 class ToxicityClassifier:
@@ -166,7 +166,7 @@ def _keep(shared, at: float):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([model.score(t or "")[0] < at for t in texts], pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
