@@ -107,6 +107,7 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"
+SLOTS = 1 << 17  # of the filter on document ids
 BLOCK = 200  # members of a bucket that meet in one unit of work
 
 
@@ -239,6 +240,16 @@ def _exact(k: int, percent: int, need: int):
     return run
 
 
+def _needed(text: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of text (doc_id, text) that may be among ids (id): what a later join needs not shuffle is gone.
+
+    The filter is the set of the ids' hash slots, at most SLOTS numbers however many ids there are,
+    so it can be broadcast at any size; it never drops a row whose id is there.
+    """
+    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("_slot")).distinct()
+    return text.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+
 class NearDuplicates:
     """Groups of near copies.
 
@@ -258,8 +269,8 @@ class NearDuplicates:
         text = docs.select("doc_id", "text")
         side = lambda n: rep.select(F.col("node").alias(n), F.col("rep").alias(f"{n}_id"))
         ids = pairs.join(side("a"), "a").join(side("b"), "b")
-        one = ids.join(text.select(F.col("doc_id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-        two = one.join(text.select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
+        one = ids.join(_needed(text, ids.select(F.col("b_id").alias("id"))).select(F.col("doc_id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
+        two = one.join(_needed(text, ids.select(F.col("a_id").alias("id"))).select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
         return work.stage(two.select("a", "a_text", "b", "b_text").mapInArrow(_confirm(self.k, self.percent), "a binary, b binary"), "links")
 
     def groups(self, docs: DataFrame) -> DataFrame:
@@ -294,7 +305,8 @@ class NearDuplicates:
         m = m.select("key", "band", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "comp", "sig", "bands")
         close = work.stage(m.groupBy("key", "u", "v").applyInArrow(_close(self.need), UNIT), "close")
         if not close.isEmpty():
-            close = close.join(rep, "node").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+            close = close.join(rep, "node")
+            close = close.join(_needed(docs.select("doc_id", "text"), close.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep"), "rep")
             found = close.groupBy("key", "u", "v").applyInArrow(_exact(self.k, self.percent, self.need), "a binary, b binary")
             links = links.unionAll(work.stage(found, "links"))
             work.drop(comps)
