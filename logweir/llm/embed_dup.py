@@ -2,10 +2,10 @@
 
 A neighbour graph is started from sorted random-hyperplane codes and refined by joins of neighbours'
 neighbours (Dong et al., 2011): whoever shares a neighbour is compared. When no list changes much
-any more, edges at or above the threshold are kept and their components found. Lists that are
-saturated, or could be, are enlarged to their whole component, compared in blocks of bounded size.
-An audit compares a bounded set of vectors with all others by brute force; below the wanted recall
-another start is added and refined. Equal vectors are one vertex with a count throughout.
+any more, edges at or above the threshold are kept and their components found. The descent promises
+no recall, so it decides nothing alone: an exact pass compares all vectors of a label in blocks of
+bounded size, counts every link and joins the components that the descent left apart. Equal vectors
+are one vertex with a count throughout.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, prepare
-from .components import connected_components
+from .components import UnionFind, connected_components
 
 BITS = 24  # hyperplanes of a code
-BLOCK = 512  # vectors of a component that meet as one side of a unit
+BLOCK = 2048  # vectors of a label that meet as one side of a unit
+STRIP = 256  # rows of a unit that are multiplied at once
 READ = "vec_id long, node binary, label string, dim int, vec binary"
 
 
@@ -168,54 +169,56 @@ def _local_join(best: int):
     return run
 
 
-def _counts(threshold: float):
-    """Two blocks of a component (comp, u, v, own, node, copies, vec) -> links of each vertex, with copies."""
+FOUND = "node binary, links long, joined long, other binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, links = [], []
-        for _, u, v, own, node, copies, raw in _groups(batches, 3):
-            x, own, copies = unit(raw), np.array(own), np.array(copies)
-            left, right = np.flatnonzero(own == u[0]), np.flatnonzero(own == v[0])
-            hit = x[left] @ x[right].T >= threshold
-            if u[0] == v[0]:
-                np.fill_diagonal(hit, False)
-            nodes += [node[i] for i in left]
-            links += (hit @ copies[right]).tolist()
-            if u[0] != v[0]:
-                nodes += [node[i] for i in right]
-                links += (hit.T @ copies[left]).tolist()
-            if len(nodes) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links, pa.int64())], names=["node", "links"])
-                nodes, links = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links, pa.int64())], names=["node", "links"])
 
-    return run
+def _exact(threshold: float):
+    """Two blocks of a label (label, dim, u, v, own, node, comp, copies, vec) -> links of each vertex, with copies,
+    and how many of them lie within its component (other is null); pairs of components (node, other) that links join."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "links", "joined", "other"])
 
-def _audit(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, true, found = shared.value, 0, 0
-        for b in batches:
-            label, dim, node, raw, comp = (np.array(c.to_pylist() + [None], dtype=object)[:-1] for c in b.columns)
-            for (la, d), (ids, comps, v) in asked.items():
-                at = np.flatnonzero((label == la) & (dim == d))
-                if at.size:
-                    hit = v @ unit([raw[i] for i in at]).T >= threshold
-                    other = ids[:, None] != node[at][None, :]
-                    same = comps[:, None] == comp[at][None, :]
-                    true += int((hit & other).sum())
-                    found += int((hit & other & same).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], names=["true", "found"])
+        rows: list[tuple] = []
+        for _, _, u, v, own, node, comp, copies, raw in _groups(batches, 4):
+            x, own, copies, sets = unit(raw), np.array(own), np.array(copies), UnionFind()
+            ids = {c: i for i, c in enumerate(dict.fromkeys(comp))}
+            names, group = list(ids), np.array([ids[c] for c in comp])
+            left, right = np.flatnonzero(own == u[0]), np.flatnonzero(own == v[0])
+            links, joined = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+            for at in range(0, len(left), STRIP):
+                part = left[at : at + STRIP]
+                hit = x[part] @ x[right].T >= threshold
+                if u[0] == v[0]:
+                    hit[np.arange(len(part)), np.arange(at, at + len(part))] = False
+                i, j = np.nonzero(hit)
+                i, j = part[i], right[j]
+                same = group[i] == group[j]
+                np.add.at(links, i, copies[j])
+                np.add.at(joined, i[same], copies[j[same]])
+                if u[0] != v[0]:
+                    np.add.at(links, j, copies[i])
+                    np.add.at(joined, j[same], copies[i[same]])
+                for a, b in np.unique(np.stack([group[i[~same]], group[j[~same]]], axis=1), axis=0).tolist():
+                    if sets.union(a, b):
+                        rows.append((names[a], 0, 0, names[b]))
+            rows += [(node[i], int(links[i]), int(joined[i]), None) for i in np.flatnonzero(links)]
+            if len(rows) > 20_000:
+                yield table(rows)
+                rows = []
+        yield table(rows)
 
     return run
 
 
 class EmbeddingNeighbours:
-    """k: length of a neighbour list. tables, width: starts, and rows looked ahead in each.
-    turns: refinements of a start at most. audit: vectors compared with all others; recall: what it must reach, within ``starts`` starts."""
+    """k: length of a neighbour list. tables, width: sorted orders of the start, and rows looked ahead in each.
+    turns: refinements at most. measured: share of all links whose ends the descent had joined by itself."""
 
-    def __init__(self, threshold: float = 0.93, k: int = 10, tables: int = 12, width: int = 8, turns: int = 3, audit: int = 256, recall: float = 0.99, starts: int = 3, reverse: int = 24):
-        self.threshold, self.k, self.tables, self.width, self.turns, self.audit, self.recall, self.starts, self.reverse = threshold, k, tables, width, turns, audit, recall, starts, reverse
+    def __init__(self, threshold: float = 0.93, k: int = 10, tables: int = 12, width: int = 8, turns: int = 3, reverse: int = 24):
+        self.threshold, self.k, self.tables, self.width, self.turns, self.reverse = threshold, k, tables, width, turns, reverse
         self.measured: float | None = None
 
     def _top(self, edges: DataFrame) -> DataFrame:
@@ -250,31 +253,27 @@ class EmbeddingNeighbours:
         vecs = t.where("node IS NOT NULL").groupBy("node", "label", "dim").agg(F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
         vecs = work.stage(vecs, "classes")
         total = vecs.count()
-        lists = close = comps = None
-        for start in range(self.starts):
-            codes = vecs.select("node", "label", "dim", "vec").mapInArrow(_codes(1000 + start, self.tables), "tab int, label string, dim int, code long, node binary, vec binary")
-            codes = codes.repartitionByRange("tab", "label", "dim", "code", "node").sortWithinPartitions("tab", "label", "dim", "code", "node")
-            seen = codes.mapInArrow(_along(self.width, 3), EDGES)
-            seen = work.stage(seen if lists is None else seen.unionAll(lists.select("a", "b", "sim")), "edges")
-            close = seen.where(F.col("sim") >= self.threshold) if close is None else close.unionAll(seen.where(F.col("sim") >= self.threshold))
-            lists = work.stage(self._top(seen), "lists")
-            for _ in range(self.turns):
-                new = work.stage(self._refine(lists, vecs), "edges")
-                close = close.unionAll(new.where(F.col("sim") >= self.threshold))
-                if new.count() < 0.02 * total * self.k:
-                    break
-                lists = work.stage(self._top(lists.select("a", "b", "sim").unionAll(new)), "lists")
-            comps = connected_components(work, close.select("a", "b"))
-            if self._recall(work, vecs, comps) >= self.recall:
+        codes = vecs.select("node", "label", "dim", "vec").mapInArrow(_codes(1000, self.tables), "tab int, label string, dim int, code long, node binary, vec binary")
+        codes = codes.repartitionByRange("tab", "label", "dim", "code", "node").sortWithinPartitions("tab", "label", "dim", "code", "node")
+        seen = work.stage(codes.mapInArrow(_along(self.width, 3), EDGES), "edges")
+        close = seen.where(F.col("sim") >= self.threshold)
+        lists = work.stage(self._top(seen), "lists")
+        for _ in range(self.turns):
+            new = work.stage(self._refine(lists, vecs), "edges")
+            close = close.unionAll(new.where(F.col("sim") >= self.threshold))
+            if new.count() < 0.02 * total * self.k:
                 break
-        member = vecs.join(comps, "node").select("comp", "node", "copies", "vec")
-        size = member.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        m = member.join(size, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select("comp", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "copies", "vec")
-        m = m.repartition("comp", "u", "v").sortWithinPartitions("comp", "u", "v")
-        counts = m.mapInArrow(_counts(self.threshold), "node binary, links long").groupBy("node").agg(F.sum("links").alias("links"))
-        of = vecs.select("node", "copies", "rep").join(comps, "node", "left").select("node", "copies", "rep", F.coalesce("comp", "node").alias("comp"))
+            lists = work.stage(self._top(lists.select("a", "b", "sim").unionAll(new)), "lists")
+        comps = connected_components(work, close.select("a", "b"))
+        of = vecs.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        of = work.stage(of.select("node", "label", "dim", "copies", "rep", "comp", "vec"), "joined")
+        found = work.stage(self._all_pairs(of), "found")
+        got = found.agg(F.sum("links"), F.sum("joined")).first()
+        self.measured = got[1] / got[0] if got[0] else 1.0
+        roots = connected_components(work, found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        roots = roots.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        of = of.select("node", "copies", "rep", "comp").join(roots, "comp", "left").select("node", "copies", "rep", F.coalesce("root", "comp").alias("comp"))
+        counts = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
         least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
         res = of.join(least, "comp").join(counts, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
         res = work.stage(res, "result")
@@ -282,12 +281,11 @@ class EmbeddingNeighbours:
         cid = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
         return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(cid == F.col("vec_id"), F.lit(True)).alias("kept"))
 
-    def _recall(self, work: Workspace, vecs: DataFrame, comps: DataFrame) -> float:
-        rows = vecs.select("label", "dim", "node", "vec").join(comps, "node", "left").select("label", "dim", "node", "vec", F.coalesce("comp", "node").alias("comp"))
-        asked: dict = {}
-        for r in rows.orderBy(F.xxhash64("node"), "node").limit(self.audit).collect():
-            asked.setdefault((r.label, r.dim), []).append(r)
-        asked = {k: (np.array([bytes(r.node) for r in v] + [None], dtype=object)[:-1], np.array([bytes(r.comp) for r in v] + [None], dtype=object)[:-1], unit([bytes(r.vec) for r in v])) for k, v in asked.items()}
-        got = rows.mapInArrow(_audit(work.spark.sparkContext.broadcast(asked), self.threshold), "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-        self.measured = 1.0 if not got[0] else got[1] / got[0]
-        return self.measured
+    def _all_pairs(self, of: DataFrame) -> DataFrame:
+        """Every pair of vectors of a label and length meets in one unit of two blocks."""
+        size = of.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        m = of.join(size, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        m = m.select("label", "dim", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "comp", "copies", "vec")
+        m = m.repartition("label", "dim", "u", "v").sortWithinPartitions("label", "dim", "u", "v")
+        return m.mapInArrow(_exact(self.threshold), FOUND)

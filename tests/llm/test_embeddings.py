@@ -48,3 +48,18 @@ def test_edges(spark):
         assert (by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True)
     assert by[None].component_id is None and by[None].kept
     assert EmbeddingNeighbours().links(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_that_the_descent_misses(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rng = np.random.default_rng(5)
+    rows = [(r.vec_id, r.embedding, r.label) for r in t.collect()]
+    for i in range(60):  # pairs just above the threshold, which few codes bring together
+        v, w = rng.standard_normal((2, 64))
+        v /= np.sqrt(v @ v)
+        w -= (w @ v) * v
+        w = 0.935 * v + np.sqrt(1 - 0.935**2) * w / np.sqrt(w @ w)
+        rows += [(10_000 + 2 * i, v.tolist(), 1), (10_001 + 2 * i, w.tolist(), 1)]
+    e = EmbeddingNeighbours(tables=1, width=4, turns=0)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in e.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows) and e.measured < 1.0
