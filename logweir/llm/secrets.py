@@ -27,7 +27,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = ("password", "passwd", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+# A sign = ends a name and may pad a value, but is no part of either.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 CONTEXT = re.compile(r"""(key|auth|bearer|credential|pwd|pass|secret|token|private|signature|cookie|session|jwt|access|salt)[A-Za-z0-9_.-]{0,24}["']?\s{0,3}(?:[:=]|=>|\s)\s{0,3}["']?(?:Bearer\s|Basic\s)?["']?$""", re.IGNORECASE | re.ASCII)
 AROUND = 256  # characters of text on either side that prime the compressor
 # Identifiers and words that are common around configuration and code.

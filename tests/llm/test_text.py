@@ -189,3 +189,11 @@ def test_licence_edges(spark):
     got = licenses.notices(odd(spark)).collect()
     assert sorted(r.n_notices for r in got) == [0, 0, 0, 0, 1, 1] and {tuple(r.families) for r in got} == {(), ("cc-by",)}
     assert licenses.notices(empty(spark)).collect() == []
+
+
+def test_novelty_of_values_after_names():
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    pad = "q8Zt1LwX0vRk5HnB7cYs3A=="
+    for name, value, end in (("export AWS_SECRET_ACCESS_KEY=", aws, "\n"), ("?user=me&auth=", aws, "&x=1"), ("SESSION=", pad, ";"), ("PRIVATE_KEY=", f"{pad}", "")):
+        text = name + value + end
+        assert secrets.redact(text, secrets.scan(text)) == name + "[SECRET]" + end
