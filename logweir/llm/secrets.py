@@ -27,9 +27,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 WORDS = ("password", "passwd", "secret", "token", "api")
 
-# A sign = ends a name and may pad a value, but is no part of either.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-CONTEXT = re.compile(r"""(key|auth|bearer|credential|pwd|pass|secret|token|private|signature|cookie|session|jwt|access|salt)[A-Za-z0-9_.-]{0,24}["']?\s{0,3}(?:[:=]|=>|\s)\s{0,3}["']?(?:Bearer\s|Basic\s)?["']?$""", re.IGNORECASE | re.ASCII)
+# Dotted runs are one candidate. A sign = ends a name and may pad a value, but is no part of either.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+SHORTEST, ALONE = 8, 20  # least characters after a separator, as the base rule's values, and after mere space, as in prose
+NAMES = "key|auth|bearer|credential|pwd|pass|secret|token|private|signature|cookie|session|jwt|access|salt"
+SENSITIVE = re.compile(NAMES, re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(rf"""({NAMES})[A-Za-z0-9_.-]{{0,24}}["']?\s{{0,3}}([:=]|=>|\s)\s{{0,3}}["']?(?:Bearer\s|Basic\s)?["']?$""", re.IGNORECASE | re.ASCII)
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HARD = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.IGNORECASE | re.ASCII)
+DATE = re.compile(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}(?:T[0-9]{2})?")
 AROUND = 256  # characters of text on either side that prime the compressor
 # Identifiers and words that are common around configuration and code.
 IDENTIFIERS = """
@@ -85,12 +91,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def speech(value: str) -> bool:
+    """Whether it reads as words, joined words or a date. Those are as new to the compressor as a random string:
+    names and ordinary words after 'author:' or 'secret' are told from values by being pronounceable."""
+    if DATE.fullmatch(value):
+        return True
+    humps = HUMP.findall(value)
+    letters = sum(map(len, humps))
+    if not humps or re.search(r"[0-9+=]", value) or letters < 3.5 * len(humps):
+        return False
+    return not any(HARD.search(h) for h in humps) and len(re.findall(r"[aeiouyAEIOUY]", value)) >= 0.2 * letters
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float) -> list[tuple[int, int, str]]:
     """Candidates outside the base spans whose novelty is at least that share of a random string's."""
     out = []
+    if not SENSITIVE.search(text):  # no candidate can have a context
+        return out
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, b, _ in taken) or not CONTEXT.search(text, max(0, s - 64), s):
+        if e - s < SHORTEST or any(a < e and s < b for a, b, _ in taken):
+            continue
+        context = CONTEXT.search(text, max(0, s - 64), s)
+        if not context or (e - s < ALONE and context[2].isspace()) or speech(m[0]):
             continue
         if novelty(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND]) >= least * expected(m[0]):
             out.append((s, e, "novel"))

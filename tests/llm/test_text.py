@@ -197,3 +197,12 @@ def test_novelty_of_values_after_names():
     for name, value, end in (("export AWS_SECRET_ACCESS_KEY=", aws, "\n"), ("?user=me&auth=", aws, "&x=1"), ("SESSION=", pad, ";"), ("PRIVATE_KEY=", f"{pad}", "")):
         text = name + value + end
         assert secrets.redact(text, secrets.scan(text)) == name + "[SECRET]" + end
+
+
+def test_novelty_of_short_dotted_and_digitless_values():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for name, value, end in (("session_key = '", "k9XvQ2mZr7LpT4wBs8", "'"), ('private_key: "', "QwErTyUiOpAsDfGhJkLzXcVb", '"'), ("DB_PWD=", "x7Kq9ZmW2pLr5TvN", "\n"), ("Authorization: Bearer ", jwt, ".")):
+        text = name + value + end
+        assert secrets.redact(text, secrets.scan(text)) == name + "[SECRET]" + end
+    for text in ("Author: Shakespeare wrote", "the secret ingredient is", "Monkey: chimpanzee", "private ConcurrentHashMap<String>", "session: 2024-05-12", "public key cryptosystem", "session = requests.Session()", "primary key: customer_id"):
+        assert secrets.scan(text) == []
