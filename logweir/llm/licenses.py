@@ -2,7 +2,8 @@
 
 A softmax regression over hashed word uni- and bigrams tells licence families and an unknown class;
 its temperature is calibrated on a held-out fold. A prediction stands only if the paragraph also
-holds enough of the words of one of the family's templates. Training takes place in the driver on
+holds enough of the words of one of the family's templates. Lines are judged whole, and paragraphs, whose
+line ends read as spaces, by overlapping windows, so that wrapped notices and notices within long lines count. Training takes place in the driver on
 the fixed texts below; applying the model is column expressions alone: weights are array literals,
 and an n-gram's weight is looked up by its crc32.
 """
@@ -44,9 +45,10 @@ OTHER = [
     "The foundation published its work under a new name.", "Redistribution of wealth was debated in parliament.", "No warranty is offered on used cars.", "Licensed electricians must pass an exam.",
     "The attribution of the painting is doubtful.", "This file is subject to review.", "The license of the restaurant was revoked under the new law.", "All rights reserved.", "International trade is subject to version control.",
 ]
-# Every template holds one of these; a paragraph without any is no notice.
+# Every template holds one of these; a line without any is no notice by itself.
 ANCHORS = ["licen", "permission is hereby", "redistribution", "cc by", "gpl"]
 LEAST_OVERLAP = 0.6
+WINDOWS = (16, 32, 64)  # words; a window starts at every quarter
 
 
 def words(text: str) -> list[str]:
@@ -129,6 +131,16 @@ def train(seed: int = 11, copies: int = 16, steps: int = 400) -> LicenceModel:
     return LicenceModel(families, full, b * t, templates)
 
 
+def marks(templates: tuple) -> list[str]:
+    """Words of which every text holds one that holds enough of a template: of each template as many as it may lack, and one."""
+    plain = {w for t in OTHER for w in words(t)}
+    out = set()
+    for t in {t for family in templates for t in family}:
+        lacking = len(t) - next(n for n in range(len(t) + 1) if n / len(t) >= LEAST_OVERLAP)
+        out |= set(sorted(t, key=lambda w: (w in plain, len(w) < 3, -len(w), w))[: lacking + 1])
+    return sorted(out)
+
+
 def has_anchor(text: Column) -> Column:
     return F.exists(F.transform(F.array(text), F.lower), lambda low: reduce(operator.or_, (low.contains(a) for a in ANCHORS)))
 
@@ -140,7 +152,10 @@ def _constant(values: list, kind: str) -> Column:
 
 def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_notices, families (distinct, sorted), notices: an array of
-    (paragraph from 0, family, probability, overlap). Paragraphs are lines.
+    (paragraph from 0, family, probability, overlap), by paragraph, which is the number of a line.
+
+    A line that is a notice by itself is one. A paragraph between blank lines gives its best window of each further
+    family, at its first line; of windows that overlap, the one with more of a template decides the family.
 
     A null or empty text has none. Rows stay as they are, repeated ones and null ids too.
     """
@@ -166,6 +181,38 @@ def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = No
         z = once(at, lambda a: F.array(*[F.aggregate(a, F.lit(float(model.bias[f])), adds(tables[f])) for f in range(n)]))
         return F.struct(w.alias("w"), z.alias("z"))
 
+    gate = marks(model.templates)
+
+    def marked(text: Column) -> Column:
+        return once(F.lower(text), lambda low: reduce(operator.or_, (low.contains(g) for g in gate)))
+
+    shortest = min(len(t) for f in model.templates for t in f)
+    vocabulary = sorted({w for f in model.templates for t in f for w in t})
+
+    def enough(w: Column) -> Column:
+        """Whether the words hold enough of a template; of the words only those of templates meet each of them."""
+        some = lambda d: reduce(operator.or_, (F.size(F.array_intersect(d, F.lit(list(t)))) >= LEAST_OVERLAP * len(t) - 1e-9 for f in model.templates for t in f))
+        return once(F.array_intersect(w, F.lit(vocabulary)), lambda d: F.when(F.size(d) < LEAST_OVERLAP * shortest - 1e-9, F.lit(False)).otherwise(some(d)))
+
+    def windows(w: Column) -> Column:
+        """Windows of the words: (at, w). A paragraph that fits a smaller size has none of the next."""
+        out = []
+        for k, n in enumerate(WINDOWS):
+            starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - n) / F.lit(n // 4))).cast("int"))
+            cut = F.transform(starts, lambda i: F.struct((i * (n // 4)).alias("at"), F.lit(n).alias("n"), F.slice(w, i * (n // 4) + 1, n).alias("w")))
+            out.append(F.when(F.size(w) > (WINDOWS[k - 1] if k else 0), cut).otherwise(F.slice(cut, 1, 0)))
+        return F.filter(F.concat(*out), lambda x: enough(x["w"]))
+
+    def best(found: Column, first: Column, last: Column, lines: Column) -> Column:
+        """Of a paragraph's windows that stand, the best of each family that no line of it gave."""
+        own = F.transform(F.filter(lines, lambda x: x["paragraph"].between(first, last)), lambda x: x["family"])
+        rank = lambda x: F.struct(x["j"]["overlap"], x["j"]["probability"])
+        beaten = lambda x: F.exists(found, lambda y: (y["j"]["family"] != x["j"]["family"]) & (y["at"] < x["at"] + x["n"]) & (x["at"] < y["at"] + y["n"]) & (rank(y) > rank(x)))
+        left = F.filter(found, lambda x: ~beaten(x) & ~F.array_contains(own, x["j"]["family"]))
+        kinds = F.array_distinct(F.transform(left, lambda x: x["j"]["family"]))
+        top = lambda f: F.array_max(F.transform(F.filter(left, lambda x: x["j"]["family"] == f), lambda x: F.struct(x["j"]["overlap"].alias("o"), x["j"]["probability"].alias("p"))))
+        return F.transform(kinds, lambda f: once(top(f), lambda t: F.struct(first.alias("paragraph"), f.alias("family"), t["p"].alias("probability"), t["o"].alias("overlap"))))
+
     def scored(p: Column) -> Column:
         return once(F.regexp_extract_all(F.lower(p), F.lit(WORD), F.lit(0)), weighed)
 
@@ -181,11 +228,24 @@ def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = No
                 overlap = F.when(k == f + 1, F.greatest(*best)).otherwise(overlap) if len(best) > 1 else F.when(k == f + 1, best[0]).otherwise(overlap)
         return F.struct(i.alias("paragraph"), F.element_at(F.lit(list(model.families)), k).alias("family"), prob.alias("probability"), overlap.alias("overlap"))
 
+    def holds(x: Column) -> Column:
+        return (x["family"] != UNKNOWN) & (x["probability"] >= least) & (x["overlap"] >= LEAST_OVERLAP)
+
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: has_anchor(x["p"]))
-    d = d.select("doc_id", F.when(has_anchor(F.col("text")), lines).alias("lines"))
-    d = d.select("doc_id", F.transform("lines", lambda x: F.struct(x["i"].alias("i"), scored(x["p"]).alias("s"))).alias("lines"))
-    d = d.select("doc_id", F.transform("lines", lambda x: judged(x["i"], x["s"])).alias("found"))
-    stands = F.filter("found", lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= least) & (x["overlap"] >= LEAST_OVERLAP))
-    d = d.select("doc_id", F.coalesce(stands, F.array().cast(d.schema["found"].dataType)).alias("notices"))
+    d = d.select("doc_id", F.when(has_anchor(F.col("text")), lines).alias("lines"), F.when(marked(F.col("text")), F.split("text", "\n")).alias("all"))
+    d = d.select("doc_id", "all", F.transform("lines", lambda x: F.struct(x["i"].alias("i"), scored(x["p"]).alias("s"))).alias("lines"), F.transform("all", lambda p: p.rlike(r"[\p{L}\p{N}]")).alias("live"))
+    at = F.sequence(F.lit(1), F.size("live"))
+    live = lambda i: F.when((i < 1) | (i > F.size("live")), F.lit(False)).otherwise(F.element_at("live", i))
+    first, last = F.filter(at, lambda i: live(i) & ~live(i - 1)), F.filter(at, lambda i: live(i) & ~live(i + 1))
+    paras = F.zip_with(first, last, lambda a, b: F.struct((a - 1).alias("first"), (b - 1).alias("last"), F.array_join(F.slice("all", a, b - a + 1), " ").alias("p")))
+    d = d.select("doc_id", F.transform("lines", lambda x: judged(x["i"], x["s"])).alias("found"), F.when(F.size("live") > 0, paras).alias("paras"))
+    kind = d.schema["found"].dataType
+    d = d.select("doc_id", F.coalesce(F.filter("found", holds), F.array().cast(kind)).alias("found"), F.filter("paras", lambda x: marked(x["p"])).alias("paras"))
+    d = d.select("doc_id", "found", F.transform("paras", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), once(F.regexp_extract_all(F.lower(x["p"]), F.lit(WORD), F.lit(0)), lambda w: F.when(enough(w), windows(w))).alias("w"))).alias("paras"))
+    d = d.select("doc_id", "found", F.filter("paras", lambda x: F.coalesce(F.size(x["w"]), F.lit(0)) > 0).alias("paras"))
+    d = d.select("doc_id", "found", F.transform("paras", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), F.transform(x["w"], lambda v: F.struct(v["at"].alias("at"), v["n"].alias("n"), once(weighed(v["w"]), lambda z: judged(x["first"], z)).alias("j"))).alias("w"))).alias("paras"))
+    further = F.transform("paras", lambda x: once(F.filter(x["w"], lambda v: holds(v["j"])), lambda w: best(w, x["first"], x["last"], F.col("found"))))
+    d = d.select("doc_id", "found", F.coalesce(F.flatten(further), F.array().cast(kind)).alias("further"))
+    d = d.select("doc_id", F.sort_array(F.concat("found", "further")).alias("notices"))
     return d.select("doc_id", F.size("notices").alias("n_notices"), F.sort_array(F.array_distinct(F.transform("notices", lambda x: x["family"]))).alias("families"), "notices")

@@ -206,3 +206,15 @@ def test_novelty_of_short_dotted_and_digitless_values():
         assert secrets.redact(text, secrets.scan(text)) == name + "[SECRET]" + end
     for text in ("Author: Shakespeare wrote", "the secret ingredient is", "Monkey: chimpanzee", "private ConcurrentHashMap<String>", "session: 2024-05-12", "public key cryptosystem", "session = requests.Session()", "primary key: customer_id"):
         assert secrets.scan(text) == []
+
+
+def test_wrapped_licences(spark):
+    mit = "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction, including without limitation the rights"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or"
+    inside = "The weather was fine and the boat left early. " * 8 + "Released under the MIT License. " + "They came home late and slept until noon. " * 8
+    bare = "This work is under a Creative Commons Attribution 4.0 International"
+    texts = [mit, bsd, gpl, "Some title\n//\n" + mit + "\n//\n\n" + bsd, inside, bare, "\n\n".join(licenses.OTHER), "\n".join(licenses.OTHER)]
+    want = [[(0, "mit")], [(0, "bsd")], [(0, "gpl")], [(2, "mit"), (7, "bsd")], [(0, "mit")], [(0, "cc-by")], [], []]
+    rows = licenses.notices(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[(n.paragraph, n.family) for n in r.notices] for r in sorted(rows, key=lambda r: r.doc_id)] == want
