@@ -147,17 +147,26 @@ FOUND = "doc_id long, contaminated boolean, item_ids array<long>, spans string"
 
 
 def _find(shared):
+    """Rows (doc_id, text), or those of FOUND and their text, with the findings of one more slice of the benchmark."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for b in batches:
-            got = [items.found(t) for t in b.column(1).to_pylist()]
-            ids = [sorted({items.ids[v[0]] for v in g}) for g in got]
-            spans = [",".join(f"{items.ids[m]}:{s}:{e}" for m, s, e in g) for g in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(g) for g in got], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.string())], names=["doc_id", "contaminated", "item_ids", "spans"])
+            got = [[(items.ids[m], s, e) for m, s, e in items.found(t)] for t in b.column(1).to_pylist()]
+            if b.num_columns > 2:
+                before = [[tuple(map(int, x.split(":"))) for x in t.split(",") if x] for t in b.column(4).to_pylist()]
+                got = [sorted(x + g, key=lambda v: (v[1], v[0])) for x, g in zip(before, got, strict=True)]
+            ids = [sorted({v[0] for v in g}) for g in got]
+            spans = [",".join(f"{i}:{s}:{e}" for i, s, e in g) for g in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bool(g) for g in got], pa.bool_()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.string())], names=["doc_id", "text", "contaminated", "item_ids", "spans"])
 
     return tidy(run)
 
 
+def _drop_text(run):
+    return lambda batches: (b.drop_columns(["text"]) for b in run(batches))
+
+
 class Decontaminator:
     """window, rate: a passage of min(window, item) bytes with at most that share of edits counts.
 
@@ -184,14 +193,10 @@ class Decontaminator:
         """
         spark = docs.sparkSession
         prepare(spark)
-        parts = [id_text(docs).mapInArrow(_find(spark.sparkContext.broadcast(i)), FOUND) for i in self._slices(benchmark)]
-        if len(parts) == 1:
-            return parts[0]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        spans = F.concat_ws(",", F.sort_array(F.collect_list(F.nullif("spans", F.lit("")))))
-        return out.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), spans.alias("spans"))
+        out, slices = id_text(docs), [spark.sparkContext.broadcast(i) for i in self._slices(benchmark)]
+        for i in slices[:-1]:
+            out = out.mapInArrow(_find(i), FOUND.replace(", ", ", text string, ", 1))
+        return out.mapInArrow(_drop_text(_find(slices[-1])), FOUND)
 
     def clean(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """docs without the contaminated ones; all other rows and all columns stay."""

@@ -218,3 +218,12 @@ def test_wrapped_licences(spark):
     want = [[(0, "mit")], [(0, "bsd")], [(0, "gpl")], [(2, "mit"), (7, "bsd")], [(0, "mit")], [(0, "cc-by")], [], []]
     rows = licenses.notices(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [[(n.paragraph, n.family) for n in r.notices] for r in sorted(rows, key=lambda r: r.doc_id)] == want
+
+
+def test_slices_give_the_same_rows(spark):
+    a, b = ("The quick brown fox jumps over the lazy dog while nobody watches the garden at all.", "Seven wizards quietly mixed a jar of fuzzy black powder behind the old stone bridge.")
+    bench = spark.createDataFrame([(1, a), (2, b), (10, a)], "item_id long, text string")
+    texts = [f"x {b} y {a} z", "clean text", None, a]
+    docs = spark.createDataFrame([(i, t) for i in (None, 5) for t in texts], "doc_id long, text string")
+    whole, sliced = (sorted(map(str, Decontaminator(slice_bytes=n).find(docs, bench).collect())) for n in (16 << 20, 100))
+    assert whole == sliced and len(whole) == 8 and sum("contaminated=True" in r for r in whole) == 4
