@@ -1,7 +1,8 @@
 """Topic and group administration over a small catalogue of Parquet tables.
 
-The catalogue has one writer; each change writes a new version directory and then moves a pointer
-file, so readers see whole versions and a lost writer leaves the old one.
+Each change writes a new version directory and then an empty file that names it; the greatest name is
+the current version. Creating a file is one step, so readers see whole versions, and a writer lost at any point
+leaves the old one. The catalogue has one writer; producer ids may be drawn by many.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class LogError(Exception):
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
+    """What the store promises."""
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in CAPABILITIES.items()])
 
 
@@ -40,21 +42,28 @@ class Catalog:
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _versions(self, name: str) -> list[str]:
+        folder = self._p(f"{name}.versions")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
     def _read(self, name: str, schema) -> DataFrame:
-        pointer = self._p(f"{name}.current")
-        if not self._fs.exists(pointer):
+        """A snapshot table is its last version, a log (its versions end in +) all since the last snapshot."""
+        done = self._versions(name)
+        start = max((i for i, v in enumerate(done) if not v.endswith("+")), default=0)
+        if not done:
             return self.spark.createDataFrame([], schema)
-        version = self.spark.read.text(f"{self.path}/{name}.current").first()[0]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{version}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{v}" for v in done[start:]])
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
+    def _write(self, name: str, df: DataFrame, append: bool = False) -> None:
+        done = self._versions(name)
+        n = int(done[-1].split("-")[0]) + 1 if done else 0
+        version = f"{n:012d}-{uuid.uuid4().hex}{'+' * append}"
         df.write.parquet(f"{self.path}/{name}/{version}")
-        out = self._fs.create(self._p(f"{name}.next"), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self._fs.delete(self._p(f"{name}.current"), False)
-        self._fs.rename(self._p(f"{name}.next"), self._p(f"{name}.current"))
+        self._publish(name, version)
+
+    def _publish(self, name: str, version: str) -> bool:
+        """Whether the version is new."""
+        return self._fs.createNewFile(self._p(f"{name}.versions/{version}"))
 
     def topics(self) -> DataFrame:
         return self._read("topics", TOPICS).orderBy("topic")
@@ -84,6 +93,16 @@ class Catalog:
         n = F.when(F.col("topic") == name, partitions).otherwise(F.col("partitions")).cast("int")
         self._write("topics", self.topics().withColumn("partitions", n))
 
+    def get_or_create_topic(self, name: str) -> int:
+        """Partitions of a topic; an unknown one is created with the default if AUTO_CREATE is set."""
+        found = self.topic_partitions(name)
+        if found is None:
+            if not AUTO_CREATE:
+                raise LogError("UnknownTopicOrPartition", name)
+            self.create_topic(name)
+            found = DEFAULT_PARTITIONS
+        return found
+
     def delete_topic(self, name: str) -> None:
         if self.topic_partitions(name) is None:
             raise LogError("UnknownTopicOrPartition", name)
@@ -98,19 +117,25 @@ class Catalog:
             raise LogError("UnknownTopicOrPartition", f"{name}/{part}")
 
     def commit_offsets(self, rows: list[tuple[int, str, str, int, int | None]]) -> None:
-        """Appends (seq, group, topic, partition, offset); a null offset deletes the key."""
-        self._write("offsets", self._read("offsets", GROUP_OFFSETS).unionAll(self.spark.createDataFrame(rows, GROUP_OFFSETS)))
+        """Appends (seq, group, topic, partition, offset); a null offset deletes the key. Earlier commits are not read."""
+        self._write("offsets", self.spark.createDataFrame(rows, GROUP_OFFSETS), append=True)
+
+    def compact_offsets(self) -> None:
+        """Leaves the last commit of each key."""
+        m = self._read("offsets", GROUP_OFFSETS).groupBy("group_id", "topic", "partition").agg(F.max(F.struct("seq", "offset")).alias("m"))
+        self._write("offsets", m.select("m.seq", "group_id", "topic", "partition", "m.offset").where("offset IS NOT NULL"))
 
     def offsets(self) -> DataFrame:
         m = self._read("offsets", GROUP_OFFSETS).groupBy("group_id", "topic", "partition").agg(F.max(F.struct("seq", "offset")).alias("m"))
         return m.select("group_id", "topic", "partition", F.col("m.offset").alias("offset")).where("offset IS NOT NULL")
 
     def init_producer_id(self) -> int:
-        """Ids from 1 on, each once."""
-        schema = "id BIGINT"
-        last = self._read("producer_ids", schema).agg(F.max("id")).first()[0] or 0
-        self._write("producer_ids", self.spark.createDataFrame([(last + 1,)], schema))
-        return last + 1
+        """Ids from 1 on, each once, also among several writers: an id is taken by creating its file."""
+        done = self._versions("producer_ids")
+        n = int(done[-1]) + 1 if done else 1
+        while not self._publish("producer_ids", f"{n:020d}"):
+            n += 1
+        return n
 
 
 class Registry:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.fnv import fnv1a, hex64
+from ..functions import payload
+from ..functions.fnv import BASIS_HI, BASIS_LO, big_endian_32, big_endian_64, constant, fnv1a, hex64, limbs, rotate_left, xor
+from ..functions.prefix import STEP, numbered, previous
 from .loglayer import KEYS
 
 
@@ -28,7 +30,7 @@ def exactly_once(consumed: DataFrame, acked: DataFrame) -> DataFrame:
 
 
 def replay_proof(seen: DataFrame, expected: DataFrame) -> DataFrame:
-    """seen (key, seq) against expected (key, n): what went wrong, per row.
+    """seen (key, seq, place) against expected (key, n): what went wrong, per row.
 
     duplicate: a sequence again; gap: it does not follow its predecessor; unexpected: at or past n;
     missing: never seen.
@@ -37,13 +39,40 @@ def replay_proof(seen: DataFrame, expected: DataFrame) -> DataFrame:
     d = seen.join(expected, "key", "left")
     dup = d.withColumn("rn", F.row_number().over(w)).where("rn > 1").select("key", "seq", F.lit("duplicate").alias("kind"))
     bad = d.where("n IS NULL OR seq < 0 OR seq >= n").select("key", "seq", F.lit("unexpected").alias("kind"))
-    want = expected.where("n > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("seq"))
-    missing = want.join(seen, ["key", "seq"], "left_anti").select("key", "seq", F.lit("missing").alias("kind"))
-    prev = F.lag("seq").over(Window.partitionBy("key").orderBy("seq", "place"))
-    gap = seen.withColumn("prev", prev).where("seq > prev + 1").select("key", "seq", F.lit("gap").alias("kind"))
+    missing = numbered(expected, "n", "seq").select("key", "seq").join(seen, ["key", "seq"], "left_anti").select("key", "seq", F.lit("missing").alias("kind"))
+    prev = previous(seen.select("key", "seq", "place"), ["key"], ["seq", "place"], F.col("seq"), F.floor(F.col("seq") / STEP), "prev")
+    gap = prev.where("seq > prev + 1").select("key", "seq", F.lit("gap").alias("kind"))
     return dup.unionAll(bad).unionAll(missing).unionAll(gap)
 
 
+def replay_records(consumed: DataFrame, acked: DataFrame, size: int, partitions: int) -> DataFrame:
+    """consumed (part, off, key, value) against acked (part, n): the first fault of each faulty record, and keys never seen.
+
+    In this order: invalid_key, invalid_value, partition outside 0 to partitions - 1, partition_mismatch and
+    sequence_mismatch of key and value, unacknowledged, duplicate, and of what is left offset_gap (it
+    does not follow the partition's last sound record), seed_mismatch, payload_mismatch. missing rows have a null off.
+    """
+    c = consumed.join(acked.withColumnRenamed("part", "_p"), F.col("part") == F.col("_p"), "left").drop("_p")
+    c = c.withColumn("k", payload.parse_key(F.col("key"))).withColumn("v", payload.parse_value(F.col("value")))
+    fault = (
+        F.when(F.col("k").isNull(), "invalid_key").when(F.col("v").isNull(), "invalid_value").when(~F.col("part").between(0, partitions - 1), "unknown_partition")
+        .when((F.col("k.part") != F.col("part")) | (F.col("v.part") != F.col("part")), "partition_mismatch").when(F.col("v.seq") != F.col("k.seq"), "sequence_mismatch")
+        .when((F.col("k.seq") < 0) | (F.col("k.seq") >= F.coalesce("n", F.lit(0))), "unacknowledged")
+    )
+    c = c.withColumn("kind", fault)
+    sound = c.where("kind IS NULL").select("part", "off", F.col("k.seq").alias("seq"), F.col("v.seed").alias("seed"), "value")
+    again = F.row_number().over(Window.partitionBy("part", "seq").orderBy("off")) > 1
+    sound = sound.withColumn("again", again)
+    once = previous(sound.where("NOT again").drop("again"), ["part"], ["off"], F.col("off"), F.floor(F.col("off") / STEP), "prev")
+    want = payload.record_value(F.col("part"), F.col("seq"), size)
+    once = once.withColumn("kinds", F.array_compact(F.array(
+        F.when(F.col("off") != F.coalesce(F.col("prev") + 1, F.lit(0)), "offset_gap"), F.when(F.col("seed") != hex64(payload.seed(F.col("part"), F.col("seq"))), "seed_mismatch").when(F.col("value") != want, "payload_mismatch"),
+    )))
+    missing = numbered(acked, "n", "seq").select("part", "seq").join(sound.select("part", "seq"), ["part", "seq"], "left_anti")
+    out = c.where("kind IS NOT NULL").select("part", "off", "kind").unionAll(sound.where("again").select("part", "off", F.lit("duplicate")))
+    return out.unionAll(once.select("part", "off", F.explode("kinds"))).unionAll(missing.select("part", F.lit(None).cast("long"), F.lit("missing")))
+
+
 def nearest_rank(df: DataFrame, by: str, value: str, tie: str, p: float, blocks: int = 64) -> DataFrame:
     """The row at zero-based rank floor(p (n - 1) + 0.5) by value, exactly.
 
@@ -68,16 +97,17 @@ def flush_cost(bat: DataFrame) -> DataFrame:
 
 
 def cost_summary(bat: DataFrame) -> DataFrame:
-    """Objects, records and bytes per object, writes per million records, and the coalescing ratio."""
+    """Objects, records and bytes per object, writes per million records, batches per object, and the coalescing ratio, records per object."""
     s = flush_cost(bat).agg(F.count("*").alias("objects"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), F.sum("batches").alias("batches"))
-    return s.select("objects", "records", (F.col("records") / F.col("objects")).alias("records_per_object"), (F.col("bytes") / F.col("objects")).alias("bytes_per_object"), (F.col("objects") * 1e6 / F.col("records")).alias("puts_per_million"), (F.col("batches") / F.col("objects")).alias("coalescing"))
+    each = lambda c, name: (F.col(c) / F.col("objects")).alias(name)
+    return s.select("objects", "records", each("bytes", "bytes_per_object"), (F.col("objects") * 1e6 / F.col("records")).alias("puts_per_million"), each("batches", "batches_per_object"), each("records", "coalescing"))
 
 
 def index_tiling(bat: DataFrame) -> DataFrame:
     """Entries that do not start where their predecessor ends: none in a sound index."""
-    w = Window.partitionBy(*KEYS).orderBy("base_offset")
-    prev = F.coalesce(F.lag(F.col("base_offset") + F.col("record_count")).over(w), F.lit(0))
-    return bat.withColumn("expected", prev).where("base_offset <> expected").select(*KEYS, "commit_seq", "base_offset", "expected")
+    end = F.col("base_offset") + F.col("record_count")
+    d = previous(bat, KEYS, ["base_offset", "commit_seq"], end, F.floor(F.col("base_offset") / (16 * STEP)), "expected")
+    return d.withColumn("expected", F.coalesce("expected", F.lit(0))).where("base_offset <> expected").select(*KEYS, "commit_seq", "base_offset", "expected")
 
 
 def hw_agreement(views: DataFrame) -> DataFrame:
@@ -92,12 +122,14 @@ def lso_monotonic(states: DataFrame) -> DataFrame:
     return states.withColumn("prev", F.lag("lso").over(w)).where("lso < prev OR lso > hw").drop("prev")
 
 
-def digest(rec: DataFrame, value: Column) -> DataFrame:
-    """Order-insensitive digest of each partition: the xor of the records' hashes, as two limbs."""
-    h = fnv1a(F.encode(F.concat_ws("/", "topic", F.col("part").cast("string"), F.col("off").cast("string"), value), "utf-8"))
-    d = rec.select(*KEYS, h.alias("h"))
-    x = d.groupBy(*KEYS).agg(F.struct(F.bit_xor("h.hi").alias("hi"), F.bit_xor("h.lo").alias("lo")).alias("x"))
-    return x.select(*KEYS, hex64(F.col("x")).alias("digest"))
+def digest(rec: DataFrame, part: Column, seq: Column, value: Column) -> DataFrame:
+    """Order-insensitive digest of each topic's partition: the basis xor the records' hashes.
+
+    A record's hash runs over its partition (4 bytes), sequence (8) and value, and is rotated left by sequence mod 63, and 1.
+    """
+    h = rotate_left(fnv1a(F.concat(big_endian_32(part), big_endian_64(seq), value)), (seq % 63 + 1).cast("int"))
+    x = rec.select(*KEYS, h.alias("h")).groupBy(*KEYS).agg(F.bit_xor("h.hi").alias("hi"), F.bit_xor("h.lo").alias("lo"))
+    return x.select(*KEYS, hex64(xor(limbs(F.col("hi"), F.col("lo")), constant(BASIS_HI << 32 | BASIS_LO))).alias("digest"))
 
 
 def expected_counts(spark, records: int, partitions: int) -> DataFrame:

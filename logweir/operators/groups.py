@@ -99,6 +99,19 @@ def join_code(member: Column) -> Column:
     return F.when(F.coalesce(member, F.lit("")) == "", MEMBER_ID_REQUIRED).otherwise(NONE).cast("int")
 
 
+def counted_joins(log: DataFrame) -> DataFrame:
+    """The in-memory stub's rule: every join counts, also of a member; the first to join an empty group leads while it is one.
+
+    A leave of a member counts too; a leader that leaves is followed by the smallest member left. Here: generation and members.
+    """
+    prev = F.coalesce(F.lag("kind").over(Window.partitionBy("grp", "member").orderBy("seq")), F.lit("leave"))
+    d = log.withColumn("prev", prev)
+    bumps = d.where("kind = 'join' OR prev = 'join'").groupBy("grp").agg(F.count("*").alias("generation"), F.min(F.when(F.col("kind") == "join", F.struct("seq", "member"))).alias("m"))
+    now = members(log).groupBy("grp").agg(F.count("*").alias("members"))
+    out = log.select("grp").distinct().join(bumps, "grp", "left").join(now, "grp", "left")
+    return out.select("grp", F.coalesce("generation", F.lit(0)).alias("generation"), F.coalesce("members", F.lit(0)).alias("members"), F.col("m.member").alias("first_member"))
+
+
 def range_assignment(log: DataFrame, partitions: int) -> DataFrame:
     """A plain client-side rule: partition p of n members goes to member p mod n in id order."""
     rank = (F.row_number().over(Window.partitionBy("grp").orderBy("member")) - 1).alias("rank")

@@ -30,6 +30,13 @@ def records(events: DataFrame) -> DataFrame:
     return e.select("event_id", "topic", "part", "user_id", "ts", "value", (F.col("base") + F.col("place") - 1).cast("long").alias("off"), "commit_seq", "nbytes")
 
 
+def numbered(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """events (topic, part, event_id, ...) with offsets after the high watermarks marks (topic, part, hw), by event_id."""
+    block = F.floor(F.col("event_id") / (OBJECT_EVENTS * BLOCK_OBJECTS))
+    d = exclusive_sum(events, KEYS, ["event_id"], F.lit(1), block, "off").join(marks, KEYS, "left")
+    return d.withColumn("off", (F.coalesce("hw", F.lit(0)) + F.col("off")).cast("long")).drop("hw")
+
+
 def batches(rec: DataFrame) -> DataFrame:
     """One batch for each object, topic and partition: base offset, count, bytes."""
     return rec.groupBy("commit_seq", *KEYS).agg(F.min("off").alias("base_offset"), F.count("*").alias("record_count"), F.sum("nbytes").cast("long").alias("byte_len"))

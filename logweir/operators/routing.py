@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fnv import big_endian_32, fnv1a, unsigned_mod
+from ..functions.prefix import exclusive_sum
 
 
 def parse_peers(peers: DataFrame) -> DataFrame:
@@ -14,10 +15,22 @@ def parse_peers(peers: DataFrame) -> DataFrame:
     return peers.select(part(1).cast("int").alias("node_id"), part(2).alias("host"), part(3).cast("int").alias("port"))
 
 
-def membership(brokers: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+def membership(brokers: list[tuple[int, str, int]], self_id: int | None = None) -> list[tuple[int, str, int]]:
+    """Brokers by id. Ids are distinct, and one's own must be among them."""
+    ids = [b[0] for b in brokers]
+    if len(set(ids)) < len(ids):
+        raise ValueError("a node id occurs twice")
+    if self_id is not None and self_id not in ids:
+        raise ValueError(f"node {self_id} is not in the peer list")
     return sorted(brokers)
 
 
+def cluster(spark: SparkSession, brokers: list[tuple[int, str, int]], self_id: int, cluster_id: str) -> DataFrame:
+    """A cluster's description: every broker, which one answers, and the controller, the smallest id."""
+    d = spark.createDataFrame(membership(brokers, self_id), "node_id INT, host STRING, port INT")
+    return d.withColumns({"cluster_id": F.lit(cluster_id), "is_self": F.col("node_id") == self_id, "is_controller": F.col("node_id") == min(b[0] for b in brokers)})
+
+
 def leader_index(topic: Column, partition: Column, n: int) -> Column:
     """Place of the leader among n brokers sorted by id; null without brokers."""
     if not n:
@@ -48,6 +61,12 @@ def leader_balance(topic: DataFrame, nodes: list[int], partitions: int) -> DataF
     return led.withColumn("balanced", (F.col("led") > 0) & (F.col("led") < 3 * share))
 
 
-def key_partition(key: Column, n: int) -> Column:
-    """Partition of a keyed record: a documented rule of ours."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def record_partition(records: DataFrame, n: int, explicit: str, key: str, order: str) -> DataFrame:
+    """records with ``partition``: the explicit one if given, else by the key's hash, and without a key in turns, by order.
+
+    Turns are counted in blocks of 65,536 of ``order``, so keyless records are no single task's.
+    """
+    turn = F.when(F.col(explicit).isNull() & F.col(key).isNull(), 1).otherwise(0)
+    d = exclusive_sum(records, [], [order], turn, F.floor(F.col(order) / 65_536), "_turn")
+    hashed = unsigned_mod(fnv1a(F.col(key).cast("string").cast("binary")), n)
+    return d.withColumn("partition", F.coalesce(F.col(explicit).cast("int"), F.when(F.col(key).isNull(), F.col("_turn") % n).otherwise(hashed).cast("int"))).drop("_turn")

@@ -1,22 +1,25 @@
 """Commit sequencing: the all-or-nothing assignment of offsets to an object's batches.
 
 Without idempotent batches offsets are a running sum (``commit_fast``). With them one rejected
-object changes what later objects may do, so ``commit_exact`` folds batch metadata, one row per
-batch, in commit order; independent commit domains fold in parallel.
+object changes what later objects may do. Only producers carry that state, so ``commit_exact`` splits
+the objects into domains that share no producer of a partition, folds each domain's batches in commit order
+in a stream of sorted rows that holds one domain's state and one object, and then numbers what was accepted by
+running sums in blocks: neither a domain nor a partition is ever one task's memory.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.graph import components
 from ..functions.prefix import exclusive_sum
-from ..schemas import OUTCOMES, names
 
 REMEMBERED = 5  # accepted batches whose retries are recognised
 UNKNOWN, STALE, GAP = "UnknownTopicOrPartition", "InvalidProducerEpoch", "OutOfOrderSequence"
@@ -86,45 +89,137 @@ class LogState:
         return [{"outcome": w, "base_offset": o, "error": None, "expected": None, "got": None} for w, o in plan]
 
 
-def _fold(topics: dict[str, int]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = LogState({(t, p): 0 for t, n in topics.items() for p in range(n)})
+FOLDED = "domain string, commit_seq long, batch_idx int, outcome string, error string, expected long, got long, first_commit long, first_idx int"
+KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+
+
+class _Places(LogState):
+    """Bases are the places (commit_seq, batch_idx) of batches: offsets follow once it is known which are accepted."""
+
+    def __init__(self):
+        super().__init__({})
+        self.where: dict = {}
+        self.held: dict = {}
+
+    def commit_places(self, batches: list[dict]) -> list[tuple]:
+        for b in batches:
+            if b["known"]:
+                self.partitions.setdefault((b["topic"], b["partition"]), 0)
+            if b["fence_epoch"] is not None:
+                self.txn_epochs[b["producer_id"]] = b["fence_epoch"]
+            else:
+                self.txn_epochs.pop(b["producer_id"], None)
+        got = self.commit(batches)
+        key = lambda b: (b["producer_id"], b["topic"], b["partition"])
+        here = lambda b: (b["commit_seq"], b["batch_idx"])
+        # retries first: what this object adds may push their originals out
+        first = [self.where[key(b), b["base_sequence"]] if o["outcome"] == "Duplicate" else here(b) if o["outcome"] == "Assigned" else (None, None) for b, o in zip(batches, got, strict=True)]
+        added = [b for b, o in zip(batches, got, strict=True) if o["outcome"] == "Assigned" and b["producer_id"] >= 0]
+        for b in added:
+            self.where[key(b), b["base_sequence"]] = here(b)
+        for k in {key(b) for b in added}:
+            kept = {q for q, _ in self.producers[k].recent}
+            for q in self.held.get(k, set()) | {b["base_sequence"] for b in added if key(b) == k}:
+                if q not in kept:
+                    self.where.pop((k, q), None)
+            self.held[k] = kept
+        return [(b["domain"], *here(b), o["outcome"], o["error"], o["expected"], o["got"], *f) for b, o, f in zip(batches, got, first, strict=True)]
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by domain, commit_seq, batch_idx -> FOLDED."""
+    cols = [c.split() for c in FOLDED.split(", ")]
+    domain, state, held, rows = None, None, [], []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], KINDS[k]) for i, (_, k) in enumerate(cols)], names=[n for n, _ in cols])
+
+    for b in batches:
+        names = b.schema.names
+        for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            r = dict(zip(names, values, strict=True))
+            if held and (held[0]["domain"], held[0]["commit_seq"]) != (r["domain"], r["commit_seq"]):
+                rows += state.commit_places(held)
+                held = []
+            if state is None or r["domain"] != domain:
+                domain, state = r["domain"], _Places()
+            held.append(r)
+        yield out()
         rows = []
-        pdf = pdf.sort_values(["commit_seq", "batch_idx"], kind="stable")
-        for _, part in pdf.groupby("commit_seq", sort=True):
-            got = part.to_dict("records")
-            for b, o in zip(got, state.commit(got), strict=True):
-                rows.append([b["commit_seq"], b["batch_idx"], b["object_id"], b["topic"], b["partition"], o["outcome"], o["base_offset"], b["record_count"], o["error"], o["expected"], o["got"]])
-        out = pd.DataFrame(rows, columns=names(OUTCOMES))
-        return out.astype({c: "Int64" for c in ("base_offset", "expected", "got")})
-
-    return run
-
-
-def commit_exact(batches: DataFrame, topics: dict[str, int], domain: str | None = None) -> DataFrame:
-    """Outcome of every batch. domain: a column that names independent commit domains, that is,
-    objects of different domains share neither partition nor producer. By default there is one."""
-    d = batches.withColumn("_domain", F.col(domain) if domain else F.lit(0))
-    return d.groupBy("_domain").applyInPandas(_fold(topics), OUTCOMES)
-
-
-def idempotent_dedup(batches: DataFrame) -> DataFrame:
-    """Retries of a batch, where batches do not depend on each other's rejection: all but the first."""
-    w = Window.partitionBy("producer_id", "topic", "partition", "producer_epoch", "base_sequence").orderBy("commit_seq", "batch_idx")
-    return batches.withColumn("duplicate", F.row_number().over(w) > 1)
+    if held:
+        rows += state.commit_places(held)
+    yield out()
+
+
+def domains(batches: DataFrame) -> DataFrame:
+    """commit_seq -> domain: objects that share no producer of a partition, through any chain, differ.
+
+    Objects without idempotent batches are domains of their own. Chains are followed only if some object has several producers.
+    """
+    key = F.concat_ws("/", F.col("producer_id").cast("string"), partition_key(F.col("topic"), F.col("partition")))
+    idem = batches.where("producer_id >= 0").select("commit_seq", key.alias("key"))
+    one = idem.groupBy("commit_seq").agg(F.min("key").alias("domain"), F.max("key").alias("other"))
+    if not one.where("domain <> other").isEmpty():
+        edges = idem.join(one, "commit_seq").where("key <> domain").select(F.col("domain").alias("a"), F.col("key").alias("b")).distinct()
+        comps = components(edges).withColumnRenamed("node", "domain")
+        one = one.join(comps, "domain", "left").withColumn("domain", F.coalesce("comp", "domain"))
+    return one.select("commit_seq", "domain")
+
+
+def commit_exact(batches: DataFrame, topics: DataFrame, fences: DataFrame | None = None) -> DataFrame:
+    """Outcome of every batch: Assigned, Duplicate or Rejected, base offset, and what was wrong.
+
+    batches as of BATCHES; topics (topic, partitions); fences (commit_seq, producer_id, epoch): the epoch of the
+    producer's open transaction when the object was committed, below which batches are stale.
+    """
+    known = topics.select("topic", F.col("partitions").alias("_n"))
+    b = batches.join(F.broadcast(known), "topic", "left").withColumn("known", F.coalesce(F.col("partition").between(0, F.col("_n") - 1), F.lit(False))).drop("_n")
+    if fences is None:
+        b = b.withColumn("fence_epoch", F.lit(None).cast("int"))
+    else:
+        b = b.join(fences.select("commit_seq", "producer_id", F.col("epoch").alias("fence_epoch")), ["commit_seq", "producer_id"], "left")
+    b = b.join(domains(batches), "commit_seq", "left").withColumn("domain", F.coalesce("domain", F.concat(F.lit("plain/"), F.col("commit_seq").cast("string"))))
+    rows = b.select("domain", "commit_seq", "batch_idx", "topic", "partition", "producer_id", "producer_epoch", "base_sequence", "record_count", "known", "fence_epoch")
+    rows = rows.repartition("domain").sortWithinPartitions("domain", "commit_seq", "batch_idx")
+    got = rows.mapInArrow(_fold, FOLDED).drop("domain")
+    d = batches.join(got, ["commit_seq", "batch_idx"])
+    assigned = exclusive_sum(d.where("outcome = 'Assigned'"), ["topic", "partition"], ["commit_seq", "batch_idx"], F.col("record_count"), F.floor(F.col("commit_seq") / 256), "base_offset")
+    again = d.where("outcome = 'Duplicate'").join(assigned.select(F.col("commit_seq").alias("first_commit"), F.col("batch_idx").alias("first_idx"), "base_offset"), ["first_commit", "first_idx"], "left")
+    bad = d.where("outcome = 'Rejected'").withColumn("base_offset", F.lit(None).cast("long"))
+    cols = ["commit_seq", "batch_idx", "object_id", "topic", "partition", "outcome", "base_offset", "record_count", "error", "expected", "got"]
+    return assigned.select(cols).unionAll(again.select(cols)).unionAll(bad.select(cols))
+
+
+IDEMPOTENT = ["producer_id", "topic", "partition", "producer_epoch"]
+
+
+def idempotent_dedup(batches: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """Retries of a batch, where batches do not depend on each other's rejection.
+
+    A retry is recognised while its original is among the last ``remembered`` batches of the producer,
+    partition and epoch, retries not counted. Batches without a producer (id -1) are never duplicates.
+    """
+    order = Window.partitionBy(*IDEMPOTENT).orderBy("commit_seq", "batch_idx")
+    same = Window.partitionBy(*IDEMPOTENT, "base_sequence").orderBy("commit_seq", "batch_idx")
+    d = batches.withColumn("_first", (F.row_number().over(same) == 1).cast("long"))
+    d = d.withColumn("_place", F.sum("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.withColumn("_at", F.first("_place").over(same))
+    late = (F.col("_first") == 0) & (F.col("_place") - F.col("_at") < remembered)
+    return d.withColumn("duplicate", (F.col("producer_id") >= 0) & late).drop("_first", "_place", "_at")
 
 
 def fencing(batches: DataFrame) -> DataFrame:
-    """Batches whose epoch is below one seen earlier for the producer and partition."""
+    """Batches whose epoch is below one seen earlier for the producer and partition; never those without a producer."""
     w = Window.partitionBy("producer_id", "topic", "partition").orderBy("commit_seq", "batch_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return batches.withColumn("fenced", F.coalesce(F.col("producer_epoch") < F.max("producer_epoch").over(w), F.lit(False)))
+    stale = F.coalesce(F.col("producer_epoch") < F.max("producer_epoch").over(w), F.lit(False))
+    return batches.withColumn("fenced", (F.col("producer_id") >= 0) & stale)
 
 
 def sequence_gap(batches: DataFrame) -> DataFrame:
-    """Expected and got sequence of batches that do not follow their predecessor of the same epoch."""
-    w = Window.partitionBy("producer_id", "topic", "partition", "producer_epoch").orderBy("commit_seq", "batch_idx")
+    """Expected and got sequence of a producer's batches that do not follow their predecessor of the same epoch."""
+    w = Window.partitionBy(*IDEMPOTENT).orderBy("commit_seq", "batch_idx")
     want = F.coalesce(F.lag(F.col("base_sequence").cast("long") + F.col("record_count")).over(w), F.lit(0).cast("long"))
-    return batches.withColumn("expected", want).where(F.col("base_sequence") != F.col("expected"))
+    return batches.where("producer_id >= 0").withColumn("expected", want).where(F.col("base_sequence") != F.col("expected"))
 
 
 def partition_key(topic, partition):

@@ -67,3 +67,33 @@ def fence(txn: DataFrame) -> DataFrame:
     at = F.sum((F.col("kind") == "init").cast("int")).over(back) - 1
     t = txn.withColumn("epoch", at).join(epochs(txn).withColumnRenamed("epoch", "now"), "producer")
     return t.where(F.col("kind") == "produce").select("seq", "producer", F.col("epoch").cast("long").alias("epoch"), (F.col("epoch") < F.col("now")).alias("fenced"))
+
+
+def ranges(txn: DataFrame, rec: DataFrame) -> DataFrame:
+    """What commits record of open transactions: for each producer, transaction (its init) and partition the first and last offset
+    and number of records produced in it, and how it ended. rec (event_id, topic, part, off) gives each produce its place."""
+    t = _ends(txn).where((F.col("kind") == "produce") & F.col("init_seq").isNotNull())
+    # an init is the latest one only if no end came after it: then the transaction is the open one at the produce
+    last_end = F.max(F.when(F.col("kind").isin("commit", "abort"), F.col("seq"))).over(Window.partitionBy("producer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    closed = txn.withColumn("end_seq", last_end).where("kind = 'produce'").select("seq", "end_seq")
+    t = t.join(closed, "seq").where("end_seq IS NULL OR end_seq < init_seq")
+    state = F.when(F.col("term").isNull(), "open").when(F.col("term") == "init", "discarded").when(F.col("term") == "commit", "committed").otherwise("aborted")
+    r = rec.select(F.col("event_id").alias("seq"), "topic", "part", "off")
+    g = t.withColumn("state", state).join(r, "seq").groupBy("producer", "init_seq", "topic", "part", "state")
+    return g.agg(F.min("off").alias("first_offset"), F.max("off").alias("last_offset"), F.count("*").alias("records"))
+
+
+def aborted_ranges(captured: DataFrame, off: int) -> DataFrame:
+    """Aborted transactions that reach ``off`` or later, with their producer: what a committed read is told to skip."""
+    return captured.where((F.col("state") == "aborted") & (F.col("last_offset") >= off)).select("producer", "topic", "part", "first_offset", "last_offset")
+
+
+def fence_epochs(txn: DataFrame, commits: DataFrame) -> DataFrame:
+    """commits (commit_seq, producer_id, seq) -> commit_seq, producer_id, epoch of the transaction that is open at seq: what fences batches below it."""
+    marks = txn.where(F.col("kind").isin(*ENDS)).select(F.col("producer").alias("producer_id"), "seq", "kind", F.lit(None).cast("long").alias("commit_seq"))
+    both = marks.unionByName(commits.select("producer_id", "seq", F.lit("ask").alias("kind"), "commit_seq"))
+    w = Window.partitionBy("producer_id").orderBy("seq", F.col("kind") == "ask").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("kind") != "ask", F.struct("seq", "kind"))).over(w)
+    at = (F.sum((F.col("kind") == "init").cast("int")).over(w) - 1).cast("int")
+    d = both.withColumn("last", last).withColumn("epoch", at).where("kind = 'ask' AND last.kind = 'init'")
+    return d.groupBy("commit_seq", "producer_id").agg(F.max("epoch").alias("epoch"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.frames import stamp_all
 from ..functions.prefix import exclusive_sum
 from .loglayer import BLOCK_OBJECTS, KEYS
 
@@ -43,6 +48,41 @@ def fetch(bat: DataFrame, off: int, max_bytes: int) -> DataFrame:
     return d.where((F.col("run") <= max(0, max_bytes)) | (F.col("before") == 0)).drop("before")
 
 
+def fetch_payload(entries: DataFrame, objects: DataFrame, off: int, max_bytes: int) -> DataFrame:
+    """A read from ``off``: of each partition the batches that ``fetch`` takes, cut out of their objects, every record batch in
+    them stamped with its offset, joined in order: topic, part, payload, next_offset. Past the high watermark there is no row.
+
+    entries: the index with byte_start; objects (commit_seq, data): a row per object. A budget bounds what a partition's row holds.
+    """
+    hit = fetch(entries, off, max_bytes).join(objects, "commit_seq")
+    cut = F.expr("substring(data, CAST(byte_start + 1 AS INT), CAST(byte_len AS INT))")
+    hit = hit.select(*KEYS, "base_offset", "record_count", cut.alias("payload")).mapInArrow(_stamp, "topic string, part int, base_offset long, record_count long, payload binary")
+    g = hit.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("base_offset", "payload"))).alias("all"), F.max(F.col("base_offset") + F.col("record_count")).alias("next_offset"))
+    return g.select(*KEYS, F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["payload"])), "")).alias("payload"), "next_offset")
+
+
+def _stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data = [stamp_all(p, o) for o, p in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)]
+        yield b.set_column(4, "payload", pa.array(data, pa.binary()))
+
+
+def check_start(off: int, log_start: int) -> None:
+    """A read below the first retained offset is an error, not an empty answer."""
+    if off < log_start:
+        raise ValueError(f"InvalidOffset: {off} is below the log start {log_start}")
+
+
+def leader_epoch_ends(epochs: DataFrame, hw: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (topic, part, epoch) -> end_epoch, end_offset: the greatest epoch that is not above the asked one, and where it ends,
+    which is the next one's start or the high watermark. epochs (topic, part, epoch, start_offset). Unknown ones have -1 for both."""
+    nxt = F.lead("start_offset").over(Window.partitionBy(*KEYS).orderBy("epoch"))
+    e = epochs.withColumn("until", nxt).join(hw, KEYS, "left").select(*KEYS, F.col("epoch").alias("known"), F.coalesce("until", "hw").alias("until"))
+    d = asked.join(e, [*[asked[k] == e[k] for k in KEYS], e.known <= asked.epoch], "left")
+    m = d.groupBy(asked.topic, asked.part, asked.epoch).agg(F.max(F.struct("known", "until")).alias("m"))
+    return m.select(*KEYS, "epoch", F.coalesce("m.known", F.lit(-1)).cast("int").alias("end_epoch"), F.coalesce("m.until", F.lit(-1)).cast("long").alias("end_offset"))
+
+
 def list_offsets(rec: DataFrame, ts: str) -> DataFrame:
     """The first offset at or after a time, per partition."""
     return rec.where(F.col("ts") >= F.lit(ts).cast("timestamp_ntz")).groupBy(*KEYS).agg(F.min("off").alias("off"))

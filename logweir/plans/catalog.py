@@ -6,42 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admin, analytics, compaction, groups, loglayer, routing, sequencer, txn, views
+from . import extended
+from .model import BAT, FNV, MEM, PST, REC, ST, TXN, COM
 
 NODES = [1, 2, 3]
 TS = "2024-01-01 12:00:00"
 
-# The log model over ``events`` as common table expressions.
-REC = """rec AS (SELECT event_id, event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, user_id, ts, value,
- CAST(row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS off,
- CAST(floor(event_id / 64) AS BIGINT) AS commit_seq, CAST(length(props) + 28 AS BIGINT) AS nbytes FROM events)"""
-BAT = REC + """, bat AS (SELECT commit_seq, topic, part, min(off) AS base_offset, count(*) AS record_count,
- CAST(sum(nbytes) AS BIGINT) AS byte_len FROM rec GROUP BY ALL)"""
-ST = BAT + """, st AS (SELECT *, CASE WHEN commit_seq = (SELECT max(commit_seq) FROM bat) THEN 'open'
- WHEN commit_seq % 7 = 3 THEN 'aborted' ELSE 'committed' END AS state FROM bat)"""
-PST = ST + """, pst AS (SELECT topic, part, max(base_offset + record_count) AS hw,
- coalesce(min(CASE WHEN state = 'open' THEN base_offset END), max(base_offset + record_count)) AS lso FROM st GROUP BY ALL)"""
-COM = """com AS (SELECT event_id AS seq, CAST(user_id % 3 AS INTEGER) AS grp, topic, part, off + 1 AS committed FROM rec WHERE event_id % 5 = 0),
- glast AS (SELECT grp, topic, part, arg_max(committed, seq) AS committed FROM com GROUP BY ALL)"""
-TXN = """txn AS (SELECT event_id AS seq, user_id AS producer, CASE event_type WHEN 'signup' THEN 'init' WHEN 'purchase' THEN 'commit'
- WHEN 'error' THEN 'abort' WHEN 'view' THEN 'produce' WHEN 'click' THEN 'stage' END AS kind FROM events),
- ends AS (SELECT *, max(CASE WHEN kind = 'init' THEN seq END) OVER (PARTITION BY producer ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS init_seq,
- min(CASE WHEN kind IN ('init','commit','abort') THEN seq END) OVER (PARTITION BY producer ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS term_seq FROM txn),
- fin AS (SELECT e.*, t.kind AS term FROM ends e LEFT JOIN txn t ON t.seq = e.term_seq)"""
-MEM = """mem AS (SELECT event_id AS seq, event_type AS grp, user_id AS member, CASE WHEN event_id % 3 = 0 THEN 'leave' ELSE 'join' END AS kind FROM events),
- meff AS (SELECT * FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY grp, member ORDER BY seq), 'leave') AS prev FROM mem) WHERE kind <> prev),
- cur AS (SELECT grp, member FROM mem GROUP BY ALL HAVING arg_max(kind, seq) = 'join'),
- gst AS (SELECT g.grp, coalesce(e.generation, 0) AS generation, coalesce(c.members, 0) AS members, c.leader FROM (SELECT DISTINCT grp FROM mem) g
- LEFT JOIN (SELECT grp, count(*) AS generation FROM meff GROUP BY grp) e USING (grp)
- LEFT JOIN (SELECT grp, count(*) AS members, min(member) AS leader FROM cur GROUP BY grp) c USING (grp))"""
-# Synthetic idempotent batches: a producer's batches of two records, every seventh one repeated.
-IDEM = """idem0 AS (SELECT o_orderkey AS commit_seq, o_custkey AS producer_id, o_orderpriority AS topic, CAST(o_custkey % 4 AS INTEGER) AS partition,
- CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS INTEGER) AS producer_epoch,
- CAST(2 * (row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1) AS INTEGER) AS base_sequence FROM orders),
- idem AS (SELECT *, 0 AS batch_idx, 2 AS record_count FROM idem0 UNION ALL SELECT *, 1, 2 FROM idem0 WHERE commit_seq % 7 = 0)"""
-FNV = """hashed AS (SELECT *, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(range(1, length(hx) // 2 + 1),
- lambda i: CAST((position(substr(hx, CAST(2 * i - 1 AS INTEGER), 1) IN '0123456789ABCDEF') - 1) * 16 + position(substr(hx, CAST(2 * i AS INTEGER), 1) IN '0123456789ABCDEF') - 1 AS HUGEINT))),
- lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM keyed)"""
-
+# Synthetic idempotent batches: a producer's batches of two records, every seventh one repeated at once, every fifth one
+# followed by a retry of the producer's batch up to eight before it, and every thirteenth without a producer.
+IDEM = """idem0 AS (SELECT o_orderkey AS commit_seq, CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_custkey % 97 END AS producer_id, o_orderpriority AS topic, CAST(o_custkey % 4 AS INTEGER) AS partition,
+ CAST(CASE WHEN o_orderkey % 13 = 0 THEN -1 WHEN o_orderkey % 101 = 0 THEN 0 ELSE 1 END AS INTEGER) AS producer_epoch, o_orderkey AS k FROM orders),
+ idem1 AS (SELECT *, CAST(CASE WHEN producer_id < 0 THEN -1 ELSE 2 * (row_number() OVER (PARTITION BY producer_id, topic, partition ORDER BY k) - 1) END AS INTEGER) AS base_sequence FROM idem0),
+ idem AS (SELECT commit_seq, producer_id, topic, partition, producer_epoch, base_sequence, 0 AS batch_idx, 2 AS record_count FROM idem1
+ UNION ALL SELECT commit_seq, producer_id, topic, partition, producer_epoch, base_sequence, 1, 2 FROM idem1 WHERE k % 7 = 0
+ UNION ALL SELECT commit_seq, producer_id, topic, partition, producer_epoch, CAST(base_sequence - 2 * (k % 9) AS INTEGER), 2, 2 FROM idem1 WHERE k % 5 = 0 AND producer_id >= 0 AND base_sequence >= 2 * (k % 9))"""
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
@@ -82,14 +60,17 @@ def _mem(spark, d):
 def idempotent_batches(orders: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    k, plain = F.col("o_orderkey"), F.col("o_orderkey") % 13 == 0
     d = orders.select(
-        F.col("o_orderkey").alias("commit_seq"), F.col("o_custkey").alias("producer_id"), F.col("o_orderpriority").alias("topic"), (F.col("o_custkey") % 4).cast("int").alias("partition"),
-        F.when(F.col("o_orderkey") % 11 == 0, 0).otherwise(1).cast("int").alias("producer_epoch"), (2 * (F.row_number().over(w) - 1)).cast("int").alias("base_sequence"),
+        k.alias("commit_seq"), F.when(plain, -1).otherwise(F.col("o_custkey") % 97).alias("producer_id"), F.col("o_orderpriority").alias("topic"), (F.col("o_custkey") % 4).cast("int").alias("partition"),
+        F.when(plain, -1).when(k % 101 == 0, 0).otherwise(1).cast("int").alias("producer_epoch"),
     )
-    again = d.where(F.col("commit_seq") % 7 == 0)
+    place = F.row_number().over(Window.partitionBy("producer_id", "topic", "partition").orderBy("commit_seq")) - 1
+    d = d.withColumn("base_sequence", F.when(F.col("producer_id") < 0, -1).otherwise(2 * place).cast("int"))
+    k, back = F.col("commit_seq"), (2 * (F.col("commit_seq") % 9)).cast("int")
     tail = lambda x, i: x.withColumns({"batch_idx": F.lit(i), "record_count": F.lit(2)})
-    return tail(d, 0).unionAll(tail(again, 1))
+    late = d.where((k % 5 == 0) & (F.col("producer_id") >= 0) & (F.col("base_sequence") >= back)).withColumn("base_sequence", F.col("base_sequence") - back)
+    return tail(d, 0).unionAll(tail(d.where(k % 7 == 0), 1)).unionAll(tail(late, 2))
 
 
 def _idem(spark, d):
@@ -97,14 +78,14 @@ def _idem(spark, d):
 
 
 def _exact(spark, d):
-    """The whole orders table as objects of one idempotent batch or two."""
+    """The whole orders table as objects of one to three batches."""
     b = _idem(spark, d).withColumn("object_id", F.concat(F.lit("o"), F.col("commit_seq").cast("string")))
-    topics = {r[0]: 4 for r in b.select("topic").distinct().collect()}
-    return sequencer.commit_exact(b, topics, domain="topic").drop("object_id")
+    topics = b.select("topic").distinct().withColumn("partitions", F.lit(4))
+    return sequencer.commit_exact(b, topics).drop("object_id")
 
 
 def _requests(spark, d):
-    return _ev(spark, d).where(F.col("event_id") % 50 == 0).select(F.col("event_type").alias("grp"), F.col("user_id").alias("member"), (F.col("event_id") % 2000).alias("generation"))
+    return _ev(spark, d).select(F.col("event_type").alias("grp"), F.col("user_id").alias("member"), (F.col("event_id") % 2000).alias("generation"))
 
 
 def _conv(spark, d):
@@ -119,11 +100,11 @@ def _parts(spark, d):
 
 
 def _truncations(spark, d):
-    return _ev(spark, d).where(F.col("event_id") % 997 == 0).select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part"), F.floor(F.col("event_id") / 40).alias("off"))
+    return _ev(spark, d).select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part"), F.floor(F.col("event_id") / 40).alias("off"))
 
 
 def queries() -> dict:
-    return {
+    return extended.queries() | {
         "offset_assign": lambda s, d: _rec(s, d).select("event_id", "topic", "part", "off", "commit_seq", "nbytes"),
         "prefix_sum_equals_base": lambda s, d: sequencer.commit_fast(loglayer.batches(_rec(s, d)).withColumnRenamed("part", "partition").withColumnRenamed("base_offset", "want").withColumn("batch_idx", F.lit(0))).agg(F.sum((F.col("base_offset") != F.col("want")).cast("long")).alias("mismatches")),
         "object_index": lambda s, d: loglayer.object_index(_bat(s, d)),
@@ -166,7 +147,7 @@ def queries() -> dict:
         "keep_latest_compaction": lambda s, d: compaction.keep_latest(_rec(s, d), "user_id"),
         "retention_by_time": lambda s, d: compaction.retention_by_time(_rec(s, d), 24),
         "retention_by_size": lambda s, d: compaction.retention_by_size(_bat(s, d), 20_000),
-        "record_digest": lambda s, d: analytics.digest(_rec(s, d), F.col("user_id").cast("string")),
+        "record_digest": lambda s, d: analytics.digest(_rec(s, d), F.col("part"), F.col("off"), F.col("user_id").cast("string").cast("binary")),
         "object_keys": lambda s, d: _t(s, d, "supplier").select("s_suppkey", loglayer.object_key(F.col("s_name"), F.col("s_suppkey"), F.col("s_nationkey"), F.lit(7)).alias("object_key")),
         "topic_catalogue": lambda s, d: _parts(s, d).groupBy("topic").agg((F.max("part") + 1).alias("partitions")),
         "capabilities": lambda s, d: admin.capabilities(s),
@@ -185,12 +166,12 @@ def _lineitem(spark, d):
 
 def oracle_sql() -> dict[str, str]:
     keyed = "keyed AS (SELECT DISTINCT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, hex(encode(event_type)) || printf('%08X', CAST(user_id % 4 AS INTEGER)) AS hx FROM events)"
-    return {
+    return extended.oracle_sql() | {
         "offset_assign": f"WITH {REC} SELECT event_id, topic, part, off, commit_seq, nbytes FROM rec",
         "prefix_sum_equals_base": f"WITH {BAT}, p AS (SELECT *, coalesce(sum(record_count) OVER (PARTITION BY topic, part ORDER BY commit_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM bat) SELECT CAST(sum(CASE WHEN run <> base_offset THEN 1 ELSE 0 END) AS BIGINT) AS mismatches FROM p",
         "object_index": f"WITH {BAT} SELECT topic, part, commit_seq, base_offset, record_count, byte_len, base_offset + record_count AS end_offset FROM bat",
         "high_watermark": f"WITH {BAT} SELECT topic, part, max(base_offset + record_count) AS hw FROM bat GROUP BY ALL",
-        "log_start_offset": f"WITH {BAT} SELECT b.topic, b.part, coalesce(t.cut, 0) AS log_start FROM (SELECT DISTINCT topic, part FROM bat) b LEFT JOIN (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, max(CAST(floor(event_id / 40) AS BIGINT)) AS cut FROM events WHERE event_id % 997 = 0 GROUP BY ALL) t ON b.topic = t.topic AND b.part = t.part",
+        "log_start_offset": f"WITH {BAT} SELECT b.topic, b.part, coalesce(t.cut, 0) AS log_start FROM (SELECT DISTINCT topic, part FROM bat) b LEFT JOIN (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, max(CAST(floor(event_id / 40) AS BIGINT)) AS cut FROM events GROUP BY ALL) t ON b.topic = t.topic AND b.part = t.part",
         "index_lookup": f"WITH {BAT} SELECT * FROM bat WHERE base_offset + record_count > 200",
         "fetch_budget": f"WITH {BAT}, r AS (SELECT *, CAST(sum(byte_len) OVER (PARTITION BY topic, part ORDER BY base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM bat WHERE base_offset + record_count > 50) SELECT * FROM r WHERE run <= 600 OR run = byte_len",
         "list_offsets_ts": f"WITH {REC} SELECT topic, part, min(off) AS off FROM rec WHERE ts >= TIMESTAMP '{TS}' GROUP BY ALL",
@@ -204,16 +185,20 @@ def oracle_sql() -> dict[str, str]:
         "producer_epoch": f"WITH {TXN} SELECT producer, count(CASE WHEN kind = 'init' THEN 1 END) - 1 AS epoch FROM txn GROUP BY producer",
         "open_transactions": f"WITH {TXN} SELECT producer, max(seq) AS init_seq FROM txn WHERE kind IN ('init','commit','abort') GROUP BY producer HAVING arg_max(kind, seq) = 'init'",
         "txn_fencing": f"WITH {TXN}, e AS (SELECT *, CAST(sum(CASE WHEN kind = 'init' THEN 1 ELSE 0 END) OVER (PARTITION BY producer ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS epoch, CAST(sum(CASE WHEN kind = 'init' THEN 1 ELSE 0 END) OVER (PARTITION BY producer) - 1 AS BIGINT) AS now FROM txn) SELECT seq, producer, epoch, epoch < now AS fenced FROM e WHERE kind = 'produce'",
-        "idempotent_dedup": f"WITH {IDEM} SELECT *, row_number() OVER (PARTITION BY producer_id, topic, partition, producer_epoch, base_sequence ORDER BY commit_seq, batch_idx) > 1 AS duplicate FROM idem",
-        "fencing": f"WITH {IDEM} SELECT *, coalesce(producer_epoch < max(producer_epoch) OVER (PARTITION BY producer_id, topic, partition ORDER BY commit_seq, batch_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS fenced FROM idem",
-        "sequence_gap": f"WITH {IDEM} SELECT * FROM (SELECT *, coalesce(CAST(lag(base_sequence + record_count) OVER (PARTITION BY producer_id, topic, partition, producer_epoch ORDER BY commit_seq, batch_idx) AS BIGINT), 0) AS expected FROM idem) WHERE base_sequence <> expected",
+        "idempotent_dedup": f"""WITH {IDEM}, f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY producer_id, topic, partition, producer_epoch, base_sequence ORDER BY commit_seq, batch_idx) = 1 THEN 1 ELSE 0 END AS is_first FROM idem),
+ p AS (SELECT *, sum(is_first) OVER (PARTITION BY producer_id, topic, partition, producer_epoch ORDER BY commit_seq, batch_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM f),
+ o AS (SELECT producer_id AS pid, topic AS t, partition AS pn, producer_epoch AS e, base_sequence AS q, place AS origin FROM p WHERE is_first = 1)
+ SELECT commit_seq, producer_id, topic, partition, producer_epoch, base_sequence, batch_idx, record_count, producer_id >= 0 AND is_first = 0 AND place - origin < 5 AS duplicate
+ FROM p JOIN o ON pid = producer_id AND t = topic AND pn = partition AND e = producer_epoch AND q = base_sequence""",
+        "fencing": f"WITH {IDEM} SELECT *, producer_id >= 0 AND coalesce(producer_epoch < max(producer_epoch) OVER (PARTITION BY producer_id, topic, partition ORDER BY commit_seq, batch_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS fenced FROM idem",
+        "sequence_gap": f"WITH {IDEM} SELECT * FROM (SELECT *, coalesce(CAST(lag(base_sequence + record_count) OVER (PARTITION BY producer_id, topic, partition, producer_epoch ORDER BY commit_seq, batch_idx) AS BIGINT), 0) AS expected FROM idem) WHERE base_sequence <> expected AND producer_id >= 0",
         "group_offsets": f"WITH {REC}, {COM} SELECT * FROM glast",
         "consumer_lag": f"WITH {PST}, {COM} SELECT g.grp, g.topic, g.part, p.hw, g.committed, p.hw - g.committed AS lag FROM glast g JOIN pst p ON g.topic = p.topic AND g.part = p.part",
         "delete_group_offsets": f"WITH {REC}, {COM} SELECT * FROM glast WHERE grp <> 1",
         "delete_offset": f"WITH {REC}, {COM} SELECT * FROM glast WHERE NOT (grp = 0 AND topic = 'view' AND part = 2)",
         "group_state": f"WITH {MEM} SELECT * FROM gst",
         "list_groups": f"WITH {MEM} SELECT grp, CASE WHEN members > 0 THEN 'Stable' ELSE 'Empty' END AS state FROM gst",
-        "heartbeat_check": f"WITH {MEM} SELECT r.grp, r.member, r.generation, CAST(CASE WHEN g.grp IS NULL THEN 16 WHEN r.generation <> g.generation THEN 22 WHEN c.member IS NULL THEN 25 ELSE 0 END AS INTEGER) AS code FROM (SELECT event_type AS grp, user_id AS member, event_id % 2000 AS generation FROM events WHERE event_id % 50 = 0) r LEFT JOIN gst g ON r.grp = g.grp LEFT JOIN cur c ON r.grp = c.grp AND r.member = c.member",
+        "heartbeat_check": f"WITH {MEM} SELECT r.grp, r.member, r.generation, CAST(CASE WHEN g.grp IS NULL THEN 16 WHEN r.generation <> g.generation THEN 22 WHEN c.member IS NULL THEN 25 ELSE 0 END AS INTEGER) AS code FROM (SELECT event_type AS grp, user_id AS member, event_id % 2000 AS generation FROM events) r LEFT JOIN gst g ON r.grp = g.grp LEFT JOIN cur c ON r.grp = c.grp AND r.member = c.member",
         "leader_for": f"WITH {keyed}, {FNV} SELECT topic, part, CAST(h % 3 + 1 AS INTEGER) AS leader FROM hashed",
         "coordinator_for": f"WITH keyed AS (SELECT c_name AS grp, hex(encode(c_name)) AS hx FROM customer), {FNV} SELECT grp, CAST(h % 3 + 1 AS INTEGER) AS coordinator FROM hashed",
         "leader_balance": f"WITH keyed AS (SELECT topic, p, hex(encode(topic)) || printf('%08X', p) AS hx FROM (SELECT DISTINCT event_type AS topic FROM events), (SELECT CAST(range AS INTEGER) AS p FROM range(64))), {FNV} SELECT topic, CAST(h % 3 + 1 AS INTEGER) AS leader, count(*) AS led, count(*) > 0 AND count(*) < 64 AS balanced FROM hashed GROUP BY ALL",
@@ -227,8 +212,11 @@ def oracle_sql() -> dict[str, str]:
  UNION ALL SELECT key, seq, 'missing' FROM (SELECT key, unnest(range(n)) AS seq FROM e) w WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.key = w.key AND s.seq = w.seq)
  UNION ALL SELECT key, seq, 'gap' FROM (SELECT key, seq, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev FROM seen) WHERE seq > prev + 1)
  SELECT key, seq, kind, count(*) AS times FROM bad GROUP BY ALL""",
-        "cost_summary": f"WITH {BAT}, c AS (SELECT commit_seq, count(*) AS batches, sum(record_count) AS records, sum(byte_len) AS bytes FROM bat GROUP BY commit_seq), s AS (SELECT count(*) AS objects, CAST(sum(records) AS BIGINT) AS records, sum(bytes) AS bytes, sum(batches) AS batches FROM c) SELECT objects, records, CAST(records AS DOUBLE) / objects AS records_per_object, CAST(bytes AS DOUBLE) / objects AS bytes_per_object, objects * CAST(1000000.0 AS DOUBLE) / records AS puts_per_million, CAST(batches AS DOUBLE) / objects AS coalescing FROM s",
-        "capabilities": "SELECT " + ", ".join(f"{str(v).lower() if isinstance(v, bool) else repr(v)} AS {k}" for k, v in admin.CAPABILITIES.items()),
+        "cost_summary": f"WITH {BAT}, c AS (SELECT commit_seq, count(*) AS batches, sum(record_count) AS records, sum(byte_len) AS bytes FROM bat GROUP BY commit_seq), s AS (SELECT count(*) AS objects, CAST(sum(records) AS BIGINT) AS records, sum(bytes) AS bytes, sum(batches) AS batches FROM c) SELECT objects, records, CAST(bytes AS DOUBLE) / objects AS bytes_per_object, objects * CAST(1000000.0 AS DOUBLE) / records AS puts_per_million, CAST(batches AS DOUBLE) / objects AS batches_per_object, CAST(records AS DOUBLE) / objects AS coalescing FROM s",
+        "capabilities": "SELECT true AS durable, true AS restart_safe, true AS idempotent, true AS transactions, true AS timestamps, true AS headers, 'parquet' AS compression, 'single writer' AS lease",
+        "record_digest": f"""WITH {REC}, keyed AS (SELECT topic, part, off, printf('%08X', part) || printf('%016X', off) || hex(encode(CAST(user_id AS VARCHAR))) AS hx FROM rec), {FNV},
+ r AS (SELECT topic, part, h, CAST(pow(2, off % 63 + 1) AS HUGEINT) AS up, CAST(pow(2, 63 - off % 63) AS HUGEINT) AS down FROM hashed)
+ SELECT topic, part, lower(lpad(to_hex(CAST(xor(bit_xor((h * up) % 18446744073709551616 + h // down), CAST(14695981039346656037 AS HUGEINT)) AS UBIGINT)), 16, '0')) AS digest FROM r GROUP BY ALL""",
         "index_tiling": f"WITH {BAT} SELECT topic, part, commit_seq, base_offset, expected FROM (SELECT *, coalesce(lag(base_offset + record_count) OVER (PARTITION BY topic, part ORDER BY base_offset), 0) AS expected FROM bat) WHERE base_offset <> expected",
         "log_dirs": f"WITH {BAT} SELECT topic, part, CAST(sum(byte_len) AS BIGINT) AS bytes, count(*) AS batches FROM bat GROUP BY ALL",
         "keep_latest_compaction": f"WITH {REC} SELECT topic, part, user_id, max(off) AS off FROM rec GROUP BY ALL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,37 +10,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import loglayer
 from ..operators.loglayer import KEYS
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of a directory, or of a single file."""
     r = spark.readStream.schema(EVENTS)
-    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    if status.isFile():  # the source takes directories only
+        return r.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return r.parquet(path)
 
 
-def commit_to(log: str):
-    """For ``foreachBatch``: a micro-batch is one object. It is numbered after what is committed and
-    written under its batch id; a replayed batch id replaces its own directory, so commits are
-    exactly once."""
+MARKS = "topic STRING, part INT, hw BIGINT"
+
+
+class CommitLog:
+    """A log whose objects count once they have a mark: {log}/object=<stream>-<batch> and {log}/_marks/<n>-<stream>-<batch>.
+
+    A mark is the small table of high watermarks after its object, written aside and renamed into place, so
+    a commit is one rename, and the next one reads watermarks and not the log. Objects without a mark are what a lost writer
+    left. A log has one writer at a time; streams may follow each other, each under a name of its own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs = self._p("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _p(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def marks(self) -> list[str]:
+        folder = self._p("_marks")
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(folder)) if self.fs.exists(folder) else []
+
+    def objects(self) -> list[str]:
+        return [m.split("-", 1)[1] for m in self.marks()]
+
+    def watermarks(self) -> DataFrame:
+        done = self.marks()
+        return self.spark.read.schema(MARKS).parquet(f"{self.path}/_marks/{done[-1]}") if done else self.spark.createDataFrame([], MARKS)
+
+    def read(self) -> DataFrame:
+        """All committed records."""
+        schema = "event_id BIGINT, user_id BIGINT, value DOUBLE, topic STRING, part INT, off BIGINT"
+        paths = [f"{self.path}/object={o}" for o in self.objects()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def commit(self, df: DataFrame, name: str) -> bool:
+        """Numbers the events after what is committed. A name that is committed already changes nothing: False."""
+        done = self.marks()
+        if any(m.split("-", 1)[1] == name for m in done):
+            return False
+        rec = loglayer.numbered(df, self.watermarks())
+        rec.write.mode("overwrite").parquet(f"{self.path}/object={name}")
+        rec = self.spark.read.schema(rec.schema).parquet(f"{self.path}/object={name}")
+        top = rec.groupBy(*KEYS).agg((F.max("off") + 1).alias("top"))
+        hw = self.watermarks().join(top, KEYS, "full").select(*KEYS, F.coalesce("top", "hw").cast("long").alias("hw"))
+        aside = f"_aside-{uuid.uuid4().hex}"
+        hw.coalesce(1).write.parquet(f"{self.path}/{aside}")
+        self.fs.mkdirs(self._p("_marks"))
+        if not self.fs.rename(self._p(aside), self._p(f"_marks/{len(done):012d}-{name}")):
+            raise RuntimeError(f"the commit of {name} could not be marked")
+        return True
+
+
+def commit_to(log: str, stream: str | None = None):
+    """For ``foreachBatch``: a micro-batch is one object of a CommitLog, named by its stream and batch id, so a batch that is
+    run again is committed once and another query's batches never replace it. stream: by default the query's id, which its checkpoint keeps."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(log)
-        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        name = stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise ValueError("outside a streaming query a stream name is needed")
         e = df.select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part"), "event_id", "user_id", "value")
-        if fs.exists(jvm_path):
-            done = spark.read.option("basePath", log).parquet(log).where(F.col("object") < batch_id)
-            base = done.groupBy(*KEYS).agg((F.max("off") + 1).alias("base"))
-            e = e.join(base, KEYS, "left")
-        else:
-            e = e.withColumn("base", F.lit(None).cast("long"))
-        from pyspark.sql.window import Window
-
-        place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("event_id")) - 1
-        e = e.withColumn("off", (F.coalesce("base", F.lit(0)) + place).cast("long")).drop("base")
-        e.sortWithinPartitions(*KEYS, "off").write.mode("overwrite").parquet(f"{log}/object={batch_id}")
+        CommitLog(spark, log).commit(e, f"{name}-{batch_id:012d}")
 
     return run
 
@@ -85,6 +137,12 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts per overlapping window and type."""
+    g = _times(events, late).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return g.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user."""
     g = _times(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
@@ -96,3 +154,10 @@ def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame, folder: str) -> DataFrame:
+    """All that is available, appended to Parquet files below the folder, next to the checkpoint: windows come once they are closed."""
+    q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")

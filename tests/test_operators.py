@@ -3,9 +3,11 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.functions import frames
-from logweir.functions.fnv import big_endian_32, fnv1a, fnv1a_int, hex64, unsigned_mod
-from logweir.operators import admin, analytics, groups, routing, sequencer, txn, views
+from logweir.functions import frames, payload as generated
+from logweir.functions.graph import components
+from logweir.functions.prefix import numbered, previous
+from logweir.functions.fnv import big_endian_32, constant, fnv1a, fnv1a_int, hex64, mix64, rotate_left, unsigned_mod
+from logweir.operators import admin, analytics, flush, groups, routing, sequencer, txn, views
 
 
 def test_fnv(spark):
@@ -116,7 +118,12 @@ def test_analytics(spark):
     rec = spark.createDataFrame([("t", 0, o, "v") for o in (0, 1, 3)], "topic string, part int, off long, v string")
     assert analytics.contiguity(rec).first().contiguous is False
     shuffled = rec.orderBy(F.desc("off"))
-    assert analytics.digest(rec, F.col("v")).collect() == analytics.digest(shuffled, F.col("v")).collect()
+    digest = lambda d: analytics.digest(d, F.col("part"), F.col("off"), F.col("v").cast("binary")).first().digest
+    want = 0xCBF29CE484222325
+    for o in (0, 1, 3):
+        h, r = fnv1a_int(struct.pack(">Iq", 0, o) + b"v"), o % 63 + 1
+        want ^= (h << r | h >> (64 - r)) % (1 << 64)
+    assert digest(rec) == digest(shuffled) == f"{want:016x}"
     assert [r.records for r in analytics.expected_counts(spark, 10, 4).orderBy("part").collect()] == [3, 3, 2, 2]
     assert analytics.equivalence(rec, rec).count() == 0
     seen = analytics.contiguity(rec)
@@ -128,3 +135,139 @@ def test_analytics(spark):
     assert [r.step for r in analytics.lso_monotonic(l).orderBy("step").collect()] == [1, 2]
     k = spark.createDataFrame([("a/b", 3)], "t string, p int").select(sequencer.partition_key(F.col("t"), F.col("p")).alias("k"))
     assert k.select(sequencer.split_key(F.col("k")).alias("s")).select("s.*").first() == ("a/b", 3)
+
+
+def mixed(x):
+    """splitmix64 in Python."""
+    m = (1 << 64) - 1
+    x = (x + 0x9E3779B97F4A7C15) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def test_splitmix_and_rotation(spark):
+    for v in (0, 1, 0xFFFFFFFFFFFFFFFF, 0x123456789ABCDEF0, 1 << 63):
+        assert spark.range(1).select(hex64(mix64(constant(v))).alias("h")).first().h == f"{mixed(v):016x}"
+        d = spark.range(64).select("id", hex64(rotate_left(constant(v), F.col("id").cast("int"))).alias("h"))
+        assert all(int(r.h, 16) == (v << r.id | v >> (64 - r.id)) % (1 << 64) for r in d.collect())
+
+
+def test_generated_records(spark):
+    d = spark.createDataFrame([(0, 0), (3, 7), (19, 1 << 40)], "p int, s long")
+    p, q = F.col("p"), F.col("s")
+    for r in d.select("p", "s", generated.record_key(p, q).alias("k"), generated.record_value(p, q, 40).alias("v"), generated.record_value(p, q, 33, fast=True).alias("f"), generated.record_value(p, q, 28).alias("h")).collect():
+        seed = mixed(r.p << 32 ^ r.s)
+        head = b"LOGWEIR1" + struct.pack(">IqQ", r.p, r.s, seed)
+        assert bytes(r.k) == struct.pack(">Iq", r.p, r.s) and bytes(r.h) == head
+        assert bytes(r.v) == head + bytes(mixed(seed ^ i) & 255 for i in range(12)) and bytes(r.f) == head + bytes([seed & 255]) * 5
+    back = d.select("p", "s", generated.parse_key(generated.record_key(p, q)).alias("k"), generated.parse_value(generated.record_value(p, q, 30)).alias("v")).collect()
+    assert all((r.k.part, r.k.seq, r.v.part, r.v.seq) == (r.p, r.s, r.p, r.s) for r in back)
+    with pytest.raises(ValueError):
+        generated.record_value(p, q, 27)
+
+
+def test_previous_and_numbers(spark):
+    rows = [("a", i * 5) for i in range(40)] + [("b", 3), ("c", 1), ("c", 100)]
+    d = spark.createDataFrame(rows, "k string, o long")
+    got = {(r.k, r.o): r.p for r in previous(d, ["k"], ["o"], F.col("o"), F.floor(F.col("o") / 16), "p").collect()}
+    assert got == {("a", i * 5): (i - 1) * 5 if i else None for i in range(40)} | {("b", 3): None, ("c", 1): None, ("c", 100): 1}
+    n = numbered(spark.createDataFrame([("x", 10_000), ("y", 0), ("z", 1)], "k string, n long"), "n", "i")
+    assert n.count() == 10_001 and n.where("k = 'x'").agg(F.sum("i"), F.max("i"), F.countDistinct("i")).first() == (10_000 * 9_999 // 2, 9_999, 10_000)
+
+
+def test_graph_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 105), (105, 103), (200, 200)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100}
+
+
+def plain_cuts(rows, policy):
+    """Objects of one broker's batches (at, seq, bytes) in order."""
+    out, opened, held, count, number = {}, None, 0, 0, -1
+    for at, seq, size in rows:
+        if opened is None or at - opened >= policy.linger_us or held >= policy.max_bytes or count >= policy.max_batches:
+            opened, held, count, number = at, 0, 0, number + 1
+        held, count = held + size, count + 1
+        out[seq] = number
+    return out
+
+
+@pytest.mark.parametrize("policy", [flush.FlushPolicy(), flush.FlushPolicy(linger_us=50), flush.FlushPolicy(linger_us=400, max_bytes=90), flush.FlushPolicy(linger_us=10**9, max_batches=3)])
+def test_flush_policy(spark, policy):
+    import random
+
+    rng = random.Random(1)
+    rows, at = [], 0
+    for i in range(400):
+        at += rng.choice([0, 1, 9, 30, 200, 3_000_000_000])
+        rows.append((i % 3, i, at, rng.randint(1, 40)))
+    d = spark.createDataFrame(rows, "broker int, seq long, at long, bytes long")
+    got = {r.seq: r.object for r in flush.cut_objects(d, policy).collect()}
+    want = {}
+    for b in range(3):
+        want |= plain_cuts([r[2:3] + r[1:2] + r[3:] for r in rows if r[0] == b], policy)
+    assert got == want and int(policy.stream_options()["maxRecordsPerFile"]) == policy.max_batches
+
+
+def test_read_of_payloads(spark):
+    one, two, three = payload(0, 2, 3), payload(0, 3), payload(0, 1) + payload(0, 4, 9)
+    objects = spark.createDataFrame([(0, two + one), (1, three)], "commit_seq long, data binary")
+    entries = spark.createDataFrame([(0, "t", 0, 10, 3, len(two), 0), (0, "t", 1, 0, 2, len(one), len(two)), (1, "t", 0, 13, 5, len(three), 0)], "commit_seq long, topic string, part int, base_offset long, record_count long, byte_len long, byte_start long")
+    got = {r.part: (bytes(r.payload), r.next_offset) for r in views.fetch_payload(entries, objects, 0, 10**6).collect()}
+    assert got == {0: (payload(10, 3) + payload(13, 1) + payload(14, 4, 9), 18), 1: (payload(0, 2, 3), 2)}
+    assert {r.part: r.next_offset for r in views.fetch_payload(entries, objects, 11, 1).collect()} == {0: 13}
+    assert views.fetch_payload(entries, objects, 18, 100).count() == 0
+    with pytest.raises(ValueError, match="InvalidOffset"):
+        views.check_start(4, 5)
+
+
+def test_captured_ranges_and_fences(spark):
+    ev = [(0, 1, "init"), (1, 1, "produce"), (2, 1, "produce"), (3, 1, "commit"), (4, 1, "produce"), (5, 1, "init"), (6, 1, "produce"), (7, 1, "init"), (8, 1, "produce"), (9, 2, "init"), (10, 2, "produce"), (11, 2, "abort")]
+    d = spark.createDataFrame(ev, "seq long, producer long, kind string")
+    rec = spark.createDataFrame([(s, "t", 0, 100 + s) for s, _, _ in ev], "event_id long, topic string, part int, off long")
+    got = txn.ranges(d, rec)
+    assert sorted((r.producer, r.init_seq, r.state, r.first_offset, r.last_offset, r.records) for r in got.collect()) == [(1, 0, "committed", 101, 102, 2), (1, 5, "discarded", 106, 106, 1), (1, 7, "open", 108, 108, 1), (2, 9, "aborted", 110, 110, 1)]
+    assert [tuple(r) for r in txn.aborted_ranges(got, 110).collect()] == [(2, "t", 0, 110, 110)] and txn.aborted_ranges(got, 111).count() == 0
+    asks = spark.createDataFrame([(0, 1, 1), (1, 1, 4), (2, 1, 6), (3, 2, 11), (4, 3, 0)], "commit_seq long, producer_id long, seq long")
+    assert sorted((r.commit_seq, r.epoch) for r in txn.fence_epochs(d, asks).collect()) == [(0, 0), (2, 1)]
+
+
+def test_cluster_and_partitions(spark):
+    assert [tuple(r) for r in routing.cluster(spark, [(2, "b", 2), (1, "a", 1)], 2, "c").select("node_id", "is_self", "is_controller").orderBy("node_id").collect()] == [(1, False, True), (2, True, False)]
+    for bad in ([(1, "a", 1)], [(2, "a", 1), (2, "b", 2)]):
+        with pytest.raises(ValueError):
+            routing.membership(bad, 2)
+    d = spark.createDataFrame([(0, None, None), (1, None, "k"), (2, 5, "k"), (3, None, None), (4, None, "k"), (70_000, None, None)], "o long, e int, k string")
+    got = {r.o: r.partition for r in routing.record_partition(d, 4, "e", "k", "o").collect()}
+    assert (got[0], got[2], got[3], got[70_000]) == (0, 5, 1, 2) and got[1] == got[4] == fnv1a_int(b"k") % 4
+
+
+def test_stub_groups(spark):
+    log = spark.createDataFrame([(0, "g", "b", "join"), (1, "g", "a", "join"), (2, "g", "b", "join"), (3, "g", "b", "leave"), (4, "g", "b", "leave"), (5, "e", "x", "leave")], "seq long, grp string, member string, kind string")
+    assert {r.grp: tuple(r)[1:] for r in groups.counted_joins(log).collect()} == {"g": (4, 1, "b"), "e": (0, 0, None)}
+
+
+def test_catalogue_survives_a_lost_writer(spark, tmp_path, monkeypatch):
+    c = admin.Catalog(spark, str(tmp_path / "cat"))
+    c.create_topic("a", 2)
+
+    def lost(self, name, version):
+        raise RuntimeError("lost between data and pointer")
+
+    with monkeypatch.context() as m:
+        m.setattr(admin.Catalog, "_publish", lost)
+        with pytest.raises(RuntimeError):
+            c.create_topic("b", 1)
+    again = admin.Catalog(spark, str(tmp_path / "cat"))
+    assert [r.topic for r in again.topics().collect()] == ["a"]
+    again.create_topic("c")
+    assert [r.topic for r in again.topics().collect()] == ["a", "c"]
+    for i in range(3):
+        again.commit_offsets([(i, "g", "a", 0, 10 + i)])
+    again.compact_offsets()
+    again.commit_offsets([(3, "g", "a", 1, 5)])
+    assert sorted(tuple(r) for r in again.offsets().collect()) == [("g", "a", 0, 12), ("g", "a", 1, 5)]
+    assert sorted([again.init_producer_id(), c.init_producer_id(), again.init_producer_id()]) == [1, 2, 3]
+    with pytest.raises(admin.LogError):
+        again.get_or_create_topic("nowhere")

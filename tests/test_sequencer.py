@@ -120,7 +120,7 @@ def test_spark_fold_and_fast_path(spark):
     for seed in (1, 2):
         objs = script(seed)
         df = spark.createDataFrame([tuple(b[c] for c in names(BATCHES)) for o in objs for b in o], BATCHES)
-        got = {(r.commit_seq, r.batch_idx): (r.outcome, r.base_offset) for r in sequencer.commit_exact(df, {"t": 4}).collect()}
+        got = {(r.commit_seq, r.batch_idx): (r.outcome, r.base_offset) for r in sequencer.commit_exact(df, spark.createDataFrame([("t", 4)], "topic string, partitions int")).collect()}
         s = LogState({("t", p): 0 for p in range(4)})
         want = {(b["commit_seq"], b["batch_idx"]): (r["outcome"], r["base_offset"]) for o in objs for b, r in zip(o, s.commit(o), strict=True)}
         assert got == want
@@ -132,3 +132,55 @@ def test_spark_fold_and_fast_path(spark):
         o = [b for b in plain if b["commit_seq"] == c]
         want |= {(c, b["batch_idx"]): r["base_offset"] for b, r in zip(o, s.commit(o), strict=True)}
     assert {(r.commit_seq, r.batch_idx): r.base_offset for r in sequencer.commit_fast(df).collect()} == want
+
+
+def as_frame(spark, batches):
+    from logweir.schemas import BATCHES, names
+
+    return spark.createDataFrame([tuple(b[c] for c in names(BATCHES)) for b in batches], BATCHES)
+
+
+def test_plain_batches_are_no_duplicates(spark):
+    """Three batches without a producer: nothing to recognise, fence or order."""
+    d = as_frame(spark, [batch(i, count=2) for i in range(3)])
+    assert [r.duplicate for r in sequencer.idempotent_dedup(d).collect()] == [False] * 3
+    assert not any(r.fenced for r in sequencer.fencing(d).collect()) and sequencer.sequence_gap(d).count() == 0
+
+
+def test_dedup_remembers_five(spark):
+    rows = [batch(i, pid=1, epoch=0, seq=i) for i in range(7)] + [batch(10 + i, pid=1, epoch=0, seq=i) for i in range(7)]
+    got = {r.commit_seq: r.duplicate for r in sequencer.idempotent_dedup(as_frame(spark, rows)).collect()}
+    assert [got[10 + i] for i in range(7)] == [False, False, True, True, True, True, True] and not any(got[i] for i in range(7))
+
+
+def test_domains(spark):
+    rows = [batch(0, 0, pid=1, epoch=0, seq=0), batch(0, 1, pid=2, epoch=0, seq=0), batch(1, pid=2, epoch=0, seq=1), batch(2, pid=3, epoch=0, seq=0), batch(3), batch(4, partition=1, pid=1, epoch=0, seq=0)]
+    got = {r.commit_seq: r.domain for r in sequencer.domains(as_frame(spark, rows)).collect()}
+    assert got[0] == got[1] and len({got[0], got[2], got[4]}) == 3 and 3 not in got
+
+
+def test_fences_of_open_transactions(spark):
+    rows = [batch(0, pid=9, epoch=1, seq=0), batch(1, pid=9, epoch=2, seq=0), batch(2, pid=9, epoch=2, seq=1)]
+    fences = spark.createDataFrame([(0, 9, 2), (1, 9, 2)], "commit_seq long, producer_id long, epoch int")
+    topics = spark.createDataFrame([("t", 1)], "topic string, partitions int")
+    got = {r.commit_seq: (r.outcome, r.error, r.base_offset) for r in sequencer.commit_exact(as_frame(spark, rows), topics, fences).collect()}
+    assert got == {0: ("Rejected", "InvalidProducerEpoch", None), 1: ("Assigned", None, 0), 2: ("Assigned", None, 1)}
+
+
+def test_catalogue_query_against_the_model(spark):
+    """commit_object_exact over the orders of sf0.01: every row as a single fold in commit order gives it."""
+    from logweir.plans import catalog
+
+    directory = "/root/testdata/sf0.01"
+    got = {(r.commit_seq, r.batch_idx): (r.outcome, r.base_offset, r.error, r.expected, r.got) for r in catalog.queries()["commit_object_exact"](spark, directory).collect()}
+    objects = {}
+    for r in catalog.idempotent_batches(spark.read.parquet(f"{directory}/orders.parquet")).collect():
+        objects.setdefault(r.commit_seq, []).append(r.asDict())
+    s = LogState({(t, p): 0 for t in {b["topic"] for o in objects.values() for b in o} for p in range(4)})
+    want, kinds = {}, set()
+    for c in sorted(objects):
+        o = sorted(objects[c], key=lambda b: b["batch_idx"])
+        for b, r in zip(o, s.commit(o), strict=True):
+            want[c, b["batch_idx"]] = (r["outcome"], r["base_offset"], r["error"], r["expected"], r["got"])
+            kinds.add((r["outcome"], r["error"]))
+    assert got == want and len(kinds) == 4

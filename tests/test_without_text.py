@@ -21,6 +21,14 @@ def test_imports_without_text_operators(tmp_path):
     assert "high_watermark" in out.stdout.split() and not any(n.startswith("op") and n[2].isdigit() for n in out.stdout.split())
 
 
+def test_imports_with_the_pipeline_alone(tmp_path):
+    root = tmp_path / "repo"
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    out = run(root)
+    assert out.returncode == 0, out.stderr
+    assert "high_watermark" in out.stdout.split() and "pipeline" not in out.stdout.split()
+
+
 def test_nothing_else_imports_them():
     for folder, _, files in os.walk(os.path.join(ROOT, "logweir")):
         if not folder.endswith("llm"):
