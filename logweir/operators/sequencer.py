@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.graph import components
+from ..functions.graph import checkpointed, components
 from ..functions.prefix import exclusive_sum
 
 REMEMBERED = 5  # accepted batches whose retries are recognised
@@ -89,7 +89,7 @@ class LogState:
         return [{"outcome": w, "base_offset": o, "error": None, "expected": None, "got": None} for w, o in plan]
 
 
-FOLDED = "domain string, commit_seq long, batch_idx int, outcome string, error string, expected long, got long, first_commit long, first_idx int"
+FOLDED = "commit_seq long, batch_idx int, object_id string, topic string, partition int, record_count int, outcome string, error string, expected long, got long, first_commit long, first_idx int"
 KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
 
@@ -123,7 +123,7 @@ class _Places(LogState):
                 if q not in kept:
                     self.where.pop((k, q), None)
             self.held[k] = kept
-        return [(b["domain"], *here(b), o["outcome"], o["error"], o["expected"], o["got"], *f) for b, o, f in zip(batches, got, first, strict=True)]
+        return [(*here(b), b["object_id"], *key(b)[1:], b["record_count"], o["outcome"], o["error"], o["expected"], o["got"], *f) for b, o, f in zip(batches, got, first, strict=True)]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +179,9 @@ def commit_exact(batches: DataFrame, topics: DataFrame, fences: DataFrame | None
     else:
         b = b.join(fences.select("commit_seq", "producer_id", F.col("epoch").alias("fence_epoch")), ["commit_seq", "producer_id"], "left")
     b = b.join(domains(batches), "commit_seq", "left").withColumn("domain", F.coalesce("domain", F.concat(F.lit("plain/"), F.col("commit_seq").cast("string"))))
-    rows = b.select("domain", "commit_seq", "batch_idx", "topic", "partition", "producer_id", "producer_epoch", "base_sequence", "record_count", "known", "fence_epoch")
+    rows = b.select("domain", "commit_seq", "batch_idx", "object_id", "topic", "partition", "producer_id", "producer_epoch", "base_sequence", "record_count", "known", "fence_epoch")
     rows = rows.repartition("domain").sortWithinPartitions("domain", "commit_seq", "batch_idx")
-    got = rows.mapInArrow(_fold, FOLDED).drop("domain")
-    d = batches.join(got, ["commit_seq", "batch_idx"])
+    d = checkpointed(rows.mapInArrow(_fold, FOLDED))  # folded once, read by each of the steps below
     assigned = exclusive_sum(d.where("outcome = 'Assigned'"), ["topic", "partition"], ["commit_seq", "batch_idx"], F.col("record_count"), F.floor(F.col("commit_seq") / 256), "base_offset")
     again = d.where("outcome = 'Duplicate'").join(assigned.select(F.col("commit_seq").alias("first_commit"), F.col("batch_idx").alias("first_idx"), "base_offset"), ["first_commit", "first_idx"], "left")
     bad = d.where("outcome = 'Rejected'").withColumn("base_offset", F.lit(None).cast("long"))
