@@ -23,8 +23,10 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one below the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may leave it out: then one below the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
 
@@ -41,7 +43,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
     def _close(self) -> None:
@@ -52,14 +54,25 @@ class Workspace:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._staged_at = path
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
-            if t is not None and (path := self.paths.pop(id(t), None)):
-                with contextlib.suppress(Exception):
-                    _delete(self.spark, path)
+            if path := t is not None and t.__dict__.pop("_staged_at", None):
+                self._remove(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables but these."""
+        names = {t._staged_at.rsplit("/", 1)[1] for t in tables}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for f in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
+            if f.getPath().getName() not in names:
+                self._remove(f.getPath().toString())
+
+    def _remove(self, path: str) -> None:
+        with contextlib.suppress(Exception):  # what is left goes at the end
+            _delete(self.spark, path)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -107,8 +120,9 @@ def tidy(run: Callable) -> Callable:
     return with_end
 
 
-def rebatch(batches: Iterable, rows: int) -> Iterator:
-    """Slices of Arrow batches of at most so many rows."""
+def rebatch(batches: Iterable, rows: int = 512, size: int = 4 << 20) -> Iterator:
+    """Slices of Arrow batches of at most so many rows, and of so many bytes or one row."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        n = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)

@@ -1,8 +1,9 @@
 """Connected components of an edge table: union-find within tasks, then alternating star contraction.
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
-2014) need O(log^2 n) rounds at most and never gather a vertex's edges in one place: each step is
-a minimum per vertex, pre-aggregated, and a join back.
+2014) need O(log^2 n) rounds at most. Each step is a minimum per vertex, pre-aggregated, and a join
+back to the edges. Both sides of the joins are written tables, so the adaptive skew join can split the
+edges of a hub over tasks: no step needs a vertex's edges together.
 """
 
 from __future__ import annotations
@@ -76,15 +77,15 @@ def connected_components(work: Workspace, edges: DataFrame, limit: int = 500_000
     last = None
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = work.stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # every row of large points to a smaller node
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = work.stage(large, "large")  # every row points to a smaller node
+        low = work.stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select("a", F.col("m").alias("b")))
         nxt = work.stage(small.distinct(), "star")
         now = tuple(nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        work.drop(e)
+        work.drop(e, least, large, low)
         e = nxt
         if now == last or now[0] == 0:
             break

@@ -7,10 +7,16 @@ anything, so elements stop early. Here all elements of a batch advance rank by r
 
 Plan: one pass over the texts makes (set size, set fingerprint, band keys). Documents with the same
 set are one class and one vertex, so exact copies never meet in a bucket. Buckets with the same
-members are kept once. First each bucket compares its members with its least one, which joins most
-groups. Then the members that are still in different components, and whose signatures agree enough,
-are compared pair by pair in blocks of bounded size, as many tasks as there are pairs of blocks.
-Every link is confirmed on the full shingle sets of the whole texts.
+members are kept once. All members of a bucket are compared with one hub, the member that shares
+most buckets with others, on the full shingle sets of the whole texts: rows in proportion to the members.
+
+Of a hub's members that are not linked to it, o can have a link to another member z only if o and z
+share t(|o| + |z|) shingles, t = percent / (100 + percent). Of these, at most c(o) lie within the
+hub, c(o) being what o shares with it, and the others are shingles outside it that several members hold.
+So each member's shingles outside the hub are counted, and a member that has too few shared ones for
+any partner is done. In a group of copies that were edited each in its own way, that is all of them.
+What is left meets the other members of its hub in units of bounded size. Every link is confirmed on full sets,
+and texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Workspace, id_text, prepare, rebatch, tidy
-from .components import connected_components
+from .common import Workspace, id_text, rebatch, tidy
+from .components import UnionFind, connected_components
 
 MEMO = 200_000  # words whose hashes a worker remembers
 GOLD = 0x9E3779B97F4A7C15
@@ -106,24 +113,23 @@ def fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"
-SLOTS = 1 << 17  # of the filter on document ids
-BLOCK = 200  # members of a bucket that meet in one unit of work
+SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
+CHUNK = 512  # members that meet a copy of their hub, or of a block of members, in one run of rows
+AGAINST = "hub long, v long, size int, linked boolean, need int, inside binary, rest array<long>"
 
 
 def _sketch(k: int, bands: int, rows: int, elements: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
         def out(ids, sets):
-            sig = superminhash(sets, bands * rows)
-            keys, short = band_keys(sig, bands), (mix(sig.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+            keys = band_keys(superminhash(sets, bands * rows), bands)
             n = [len(s) for s in sets]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([x if c else None for x, c in zip(keys, n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() if c else None for x, c in zip(short, n, strict=True)], pa.binary())], schema=schema
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([x if c else None for x, c in zip(keys, n, strict=True)], pa.list_(pa.int64()))], schema=schema
             )
 
-        for b in batches:
+        for b in rebatch(batches):
             ids, sets, held = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 s = shingles(t.as_py(), k)
@@ -140,192 +146,189 @@ def _sketch(k: int, bands: int, rows: int, elements: int = 400_000):
     return tidy(run)
 
 
-def _confirm(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, tuple] = {}
-
-        def of(node: bytes, text: bytes):
-            if node not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                s = shingles(text, k)
-                kept[node] = (s, fingerprint(s) == node)
-            return kept[node]
-
-        for b in rebatch(batches, 256):
-            a, t, c, u = (b.column(i).cast(pa.binary()).to_pylist() for i in range(4))
-            got = []
-            for x, tx, y, ty in zip(a, t, c, u, strict=True):
-                (s, ok), (v, fine) = of(x, tx), of(y, ty)
-                if not (ok and fine):  # an id with several texts: this row is of another class
-                    kept.pop(x, None), kept.pop(y, None)
-                    continue
-                both = np.intersect1d(s, v, assume_unique=True).size
-                if 100 * both >= percent * (len(s) + len(v) - both):
-                    got.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.binary()) for i in (0, 1)], names=["a", "b"])
-        _words.clear()
-
-    return tidy(run)
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple]]:
+    """Rows whose last columns are node and text -> their other columns and the shingle set, batch by batch."""
+    for b in rebatch(batches):
+        rows = []
+        for *row, node, text in zip(*(b.column(i).to_pylist() for i in range(b.num_columns - 1)), b.column(b.num_columns - 1).cast(pa.binary()), strict=True):
+            s = shingles(text.as_py(), k)
+            if fingerprint(s) == node:  # else, of an id with several texts, this row is of another class
+                rows.append((*row, s))
+        yield rows
+    _words.clear()
 
 
-UNIT = "key long, band int, u int, v int, own int, node binary, comp binary, sig binary, bands array<long>"
+def _table(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    cols = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(cols)], names=[n for n, _ in cols])
 
 
-class _Unit:
-    """Two blocks of a bucket's members (or one), and which of their pairs are to be compared.
+def _against(k: int, percent: int):
+    """Rows (hub, chunk, v, smallest, node, text), each chunk led by the hub itself -> AGAINST, a row per other member.
 
-    A pair is left to the unit of the first band in which its keys agree.
+    smallest: the least size of a partner. inside: which of the hub's sorted shingles the member has, as bits; rest: its shingles outside
+    the hub. Together they are the whole set. need: as many of the rest must be shared for a link to another member.
     """
 
-    def __init__(self, t: pa.Table, need: int):
-        self.node, comp = (np.array(t[c].to_pylist() + [None], dtype=object)[:-1] for c in ("node", "comp"))
-        own = t["own"].to_numpy()
-        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(own), -1)
-        bands, band = np.array(t["bands"].to_pylist()), t["band"][0].as_py()
-        self.before, self.comp, self.need = bands[:, :band], np.unique(comp.astype(bytes), return_inverse=True)[1], need
-        u, v = t["u"][0].as_py(), t["v"][0].as_py()
-        self.left, self.right, self.one = np.flatnonzero(own == u), np.flatnonzero(own == v), u == v
-
-    def partners(self, i: int, comp: np.ndarray) -> np.ndarray:
-        at = self.right[comp[self.right] != comp[i]]
-        if self.one:
-            at = at[at > i]
-        at = at[(self.sig[at] == self.sig[i]).sum(axis=1) >= self.need]
-        return at[~(self.before[at] == self.before[i]).any(axis=1)] if at.size else at
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, None
+        for rows in _sets(batches, k):
+            got: list[tuple] = []
+            for h, chunk, v, smallest, s in rows:
+                if v == h:
+                    at, hub = (h, chunk), s
+                    continue
+                if at != (h, chunk):
+                    raise ValueError("a chunk of near copies without its hub")
+                where = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+                inside, held = hub[where] == s, np.zeros(len(hub), bool)
+                held[where[inside]] = True
+                c, n, m = int(inside.sum()), len(s), len(hub)
+                need = -(-percent * (n + max(smallest, -(-percent * n // 100))) // (100 + percent)) - c
+                got.append((h, v, n, 100 * c >= percent * (n + m - c), need, np.packbits(held).tobytes(), s[~inside].view(np.int64)))
+            yield _table(got, AGAINST)
 
+    return tidy(run)
 
-def _close(need: int):
-    """Of a unit, the members whose signatures agree with one of another component in enough slots.
 
-    A true link agrees in fewer with a chance of 1e-7 or less (5.5 standard deviations).
-    """
+def _units(percent: int):
+    """Rows (hub, chunk, block, v, comp, size, first, inside, rest), each unit led by its block's members (first) -> links (a, b) that join components."""
 
-    def run(t: pa.Table) -> pa.Table:
-        unit, found = _Unit(t, need), set()
-        for i in unit.left:
-            if (at := unit.partners(i, unit.comp)).size:
-                found.update(at.tolist())
-                found.add(int(i))
-        return t.take(pa.array(sorted(found), pa.int64()))
-
-    return run
-
-
-def _exact(k: int, percent: int, need: int):
-    """Links of a unit between different components, on full sets: as many as join what can be joined."""
-
-    def run(t: pa.Table) -> pa.Table:
-        sets = [shingles(x, k) for x in t["text"].cast(pa.binary()).to_pylist()]
-        t, sets = t.filter(pa.array([fingerprint(s) == n for s, n in zip(sets, t["node"].to_pylist(), strict=True)])), [s for s, n in zip(sets, t["node"].to_pylist(), strict=True) if fingerprint(s) == n]
-        got = []
-        if sets:
-            unit, size = _Unit(t, need), np.array([len(s) for s in sets])
-            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            ids = np.split(ids, np.cumsum(size)[:-1])
-            mark, comp = np.zeros(max(int(x.max()) for x in ids) + 1, np.int64), unit.comp.copy()
-            for i in unit.left:
-                at = unit.partners(i, comp)
-                if not at.size:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, index = None, [], None
+        for b in rebatch(batches):
+            got: list[tuple] = []
+            for h, chunk, part, v, comp, n, first, inside, rest in zip(*(b.column(i).to_pylist() for i in range(8)), b.column(8), strict=True):
+                inside, rest = np.frombuffer(inside, np.uint8), rest.values.to_numpy()
+                if at != (h, chunk, part):
+                    at, block, index, sets = (h, chunk, part), [], None, UnionFind()
+                if first:
+                    block.append((v, comp, n, inside, rest))
                     continue
-                mark[ids[i]] = 1
-                both = np.add.reduceat(mark[np.concatenate([ids[j] for j in at])], np.concatenate([[0], np.cumsum(size[at])[:-1]]))
-                mark[ids[i]] = 0
-                for j in at[100 * both >= percent * (size[i] + size[at] - both)]:
-                    if comp[i] != comp[j]:
-                        got.append((unit.node[i], unit.node[j]))
-                        comp[comp == comp[j]] = comp[i]
-        return pa.table([pa.array([g[i] for g in got], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def _needed(text: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of text (doc_id, text) that may be among ids (id): what a later join needs not shuffle is gone.
+                if not block:
+                    continue
+                if index is None:
+                    size, held = np.array([x[2] for x in block]), np.stack([x[3] for x in block])
+                    every, owner = np.concatenate([x[4] for x in block]), np.repeat(np.arange(len(block)), [len(x[4]) for x in block])
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order]
+                lo, hi = np.searchsorted(index[0], rest, "left"), np.searchsorted(index[0], rest, "right")
+                k = hi - lo
+                where = np.repeat(lo - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+                both = np.bincount(index[1][where], minlength=len(block)) + np.bitwise_count(held & inside).sum(axis=1)
+                for i in np.flatnonzero(100 * both >= percent * (size + n - both)):
+                    if block[i][0] != v and sets.union(block[i][1], comp):
+                        got.append((block[i][0], v))
+            yield _table(got, "a long, b long")
 
-    The filter is the set of the ids' hash slots, at most SLOTS numbers however many ids there are,
-    so it can be broadcast at any size; it never drops a row whose id is there.
-    """
-    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("_slot")).distinct()
-    return text.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return tidy(run)
 
 
 class NearDuplicates:
     """Groups of near copies.
 
     k, percent: shingle words, least Jaccard similarity in percent. bands x rows slots are
-    banded; at similarity s a pair is missed with probability (1 - s^rows)^bands or less.
+    banded; at similarity s a pair shares no bucket with probability (1 - s^rows)^bands: 8e-7 at 0.85,
+    7e-5 at 0.80. That is the only way to lose a link; ``tests/llm`` measures the recall.
     """
 
     def __init__(self, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 5):
         if not 1 <= k <= len(MUL):
             raise ValueError(f"k is from 1 to {len(MUL)}")
         self.k, self.percent, self.bands, self.rows = k, percent, bands, rows
-        j, m = percent / 100, bands * rows
-        self.need = int(m * j - 5.5 * (m * j * (1 - j)) ** 0.5)
-
-    def _links(self, pairs: DataFrame, rep: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
-        """pairs (a, b) of classes -> staged links. Texts come from each class's least document."""
-        text = docs.select("doc_id", "text")
-        side = lambda n: rep.select(F.col("node").alias(n), F.col("rep").alias(f"{n}_id"))
-        ids = pairs.join(side("a"), "a").join(side("b"), "b")
-        one = ids.join(_needed(text, ids.select(F.col("b_id").alias("id"))).select(F.col("doc_id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-        two = one.join(_needed(text, ids.select(F.col("a_id").alias("id"))).select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
-        return work.stage(two.select("a", "a_text", "b", "b_text").mapInArrow(_confirm(self.k, self.percent), "a binary, b binary"), "links")
+
+    def _pairs(self, classes: DataFrame, work: Workspace) -> DataFrame:
+        """The hub of each band bucket with each other member, once: hub, chunk, v, and the least size of a bucket they share."""
+        rows = classes.select(F.explode("bands").alias("key"), "size", "v")
+        keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.bit_xor(F.xxhash64("v")).alias("sum"), F.min("size").alias("smallest")).where("n > 1")
+        keys = work.stage(keys.groupBy("n", "least", "sum").agg(F.min("key").alias("key"), F.min("smallest").alias("smallest")).select("key", "n", "smallest"), "buckets")
+        members = work.stage(rows.select("key", "v").join(keys, "key"), "members")
+        members = members.withColumn("rank", F.sum("n").over(Window.partitionBy("v")))
+        hubs = work.stage(members.groupBy("key").agg(F.max(F.struct("rank", "v")).alias("hub")).select("key", F.col("hub.v").alias("hub")), "hubs")
+        one = members.join(hubs, "key").where("v <> hub").groupBy("hub", "v").agg(F.max("n").alias("n"), F.min("smallest").alias("smallest"))
+        return work.stage(one.select("hub", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"), "v", "smallest"), "pairs")
+
+    def _compare(self, pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
+        """Members against their hubs. The join that fetches texts is a sort merge at every size, so it takes the same way on small inputs."""
+        heads = pairs.select("hub", "chunk").distinct().select("hub", "chunk", F.col("hub").alias("v"), F.lit(0).alias("smallest"))
+        asked = pairs.unionByName(heads).join(classes.select("v", "node", "rep"), "v")
+        text = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge")
+        rows = asked.join(text, "rep").select("hub", "chunk", "v", "smallest", "node", "text")
+        rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("v") != F.col("hub"))
+        return work.stage(rows.mapInArrow(_against(self.k, self.percent), AGAINST), "against")
+
+    def _left(self, against: DataFrame, comps: DataFrame, work: Workspace) -> DataFrame:
+        """Members that may have a link to a member of another component: hub, v, comp, whether that is open."""
+        comps = comps.withColumnRenamed("node", "v")
+        m = against.select("hub", "v", "linked").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        m = work.stage(m, "seen")
+        live = work.stage(m.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("linked").alias("all")).where("lo <> hi AND NOT all").select("hub"), "live")
+        rows = against.join(live, "hub", "left_semi")
+        rest = rows.select("hub", "v", "linked", F.explode("rest").alias("shingle"))
+        shared = work.stage(rest.groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1").select("hub", "shingle"), "shared")
+        count = rest.where("NOT linked").join(shared, ["hub", "shingle"], "left_semi").groupBy("hub", "v").agg(F.count("*").alias("shared"))
+        open_ = rows.where("NOT linked").join(count, ["hub", "v"], "left").where(F.coalesce("shared", F.lit(0)) >= F.col("need")).select("hub", "v")
+        open_ = work.stage(open_.withColumn("open", F.lit(True)), "open")
+        hubs = work.stage(open_.groupBy("hub").agg(F.count("*").alias("opens")), "hubs")
+        out = m.select("hub", "v", "comp").join(hubs, "hub").join(open_, ["hub", "v"], "left")
+        return work.stage(out.withColumn("open", F.coalesce("open", F.lit(False))), "left")
+
+    def _rest(self, left: DataFrame, against: DataFrame, work: Workspace) -> DataFrame:
+        """Open members against all members of their hub, in units of a block of the open ones and a chunk of all. The sets are at hand: no text is read."""
+        n = work.stage(left.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.ceil(F.max("opens") / CHUNK).cast("int").alias("blocks")), "sizes")
+        d = left.drop("opens").join(n, "hub").withColumn("hash", F.xxhash64("v"))
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        own = lambda c: F.pmod("hash", F.col(c)).cast("int")
+        lead = d.where("open").withColumn("chunk", each("chunks")).withColumn("block", own("blocks")).withColumn("first", F.lit(True))
+        follow = d.withColumn("block", each("blocks")).withColumn("chunk", own("chunks")).withColumn("first", F.lit(False))
+        asked = work.stage(lead.unionByName(follow).select("hub", "chunk", "block", "v", "comp", "first"), "asked")
+        rows = asked.join(against.select("hub", "v", "size", "inside", "rest"), ["hub", "v"]).select("hub", "chunk", "block", "v", "comp", "size", "first", "inside", "rest")
+        rows = rows.repartition("hub", "chunk", "block").sortWithinPartitions("hub", "chunk", "block", F.desc("first"))
+        return work.stage(rows.mapInArrow(_units(self.percent), "a long, b long"), "links")
 
     def groups(self, docs: DataFrame) -> DataFrame:
         """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: a row per input row.
 
         component_id: the least doc_id reachable by links, itself included. Documents without
-        words link with nothing. A row with a null id has a null component_id and is kept.
+        words (null, empty or blank texts) link with nothing. A row with a null id has a null component_id and is kept.
         Rows that repeat an id and a text share one result; of an id's different texts each has
-        its own group. Ties do not arise: ids order all choices.
+        its own group. Ties do not arise: ids order all choices. An empty table gives an empty result;
+        further columns are not read, whatever their names.
         """
         spark = docs.sparkSession
-        prepare(spark)
         work, docs = Workspace(spark, "near_dup"), id_text(docs)
         t1 = work.stage(docs.mapInArrow(_sketch(self.k, self.bands, self.rows), SKETCH), "sketch")
-        nodes = t1.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        nodes = work.stage(nodes, "classes")
-        rep = nodes.select("node", "rep")
-        rows = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
-        keys = rows.groupBy("key").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.min("node").alias("hub"), F.bit_xor(F.xxhash64("node")).alias("sum")).where("n > 1")
-        keys = keys.groupBy("n", "hub", "sum").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key", "k.band", "n", "hub")
-        keys = work.stage(keys, "buckets")
-        member = work.stage(rows.drop("band").join(keys, "key").select("key", "band", "n", "hub", "node"), "members")
-        tried = work.stage(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        links = self._links(tried, rep, docs, work)
+        classes = t1.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("bands").alias("bands"))
+        classes = work.stage(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+        pairs = self._pairs(classes, work)
+        against = self._compare(pairs, classes, docs, work)
+        links = work.stage(against.where("linked").select(F.col("hub").alias("a"), F.col("v").alias("b")), "links")
         comps = connected_components(work, links)
-        member = member.where("n > 2").select("key", "band", "node")
-        m = member.join(comps, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-        live = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        m = m.join(live.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.select("node", "sig", "bands"), "node")
-        m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select("key", "band", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "comp", "sig", "bands")
-        close = work.stage(m.groupBy("key", "u", "v").applyInArrow(_close(self.need), UNIT), "close")
-        if not close.isEmpty():
-            close = close.join(rep, "node")
-            close = close.join(_needed(docs.select("doc_id", "text"), close.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep"), "rep")
-            found = close.groupBy("key", "u", "v").applyInArrow(_exact(self.k, self.percent, self.need), "a binary, b binary")
-            links = links.unionAll(work.stage(found, "links"))
-            work.drop(comps)
-            comps = connected_components(work, links)
-        ids = nodes.select("node", "rep").join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-        least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        of = work.stage(ids.join(least, "comp").select("node", "component_id").where("component_id IS NOT NULL"), "component_of")
+        left = self._left(against, comps, work)
+        if not left.isEmpty():
+            more = self._rest(left, against, work)
+            if not more.isEmpty():
+                comps = connected_components(work, links.unionAll(more))
+        of = classes.select("node", "rep", "v").join(comps.withColumnRenamed("node", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        least = work.stage(of.groupBy("comp").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("comp", "least"), "least")
+        of = work.stage(of.join(least, "comp", "left").select("node", F.coalesce("least", "rep").alias("rep")), "component_of")
         out = t1.select("doc_id", "n_shingles", "node").join(of, "node", "left")
-        cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-        return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
+        cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+        res = work.stage(out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept")), "groups")
+        work.keep(res)
+        return res
 
     def deduplicate(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that stay: the least doc_id of each group, once, and rows with a null id.
 
         Of an id's different texts all stay if one does; rows that repeat id and text become one.
+        Documents without words stay. All columns stay as they are; an empty table stays empty.
+        The join is a sort merge at every size: the ids that stay grow with the input, so they are never broadcast.
         """
-        kept = self.groups(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
-        kept = Workspace(docs.sparkSession, "near_dup").stage(kept, "kept")
-        once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+        work = Workspace(docs.sparkSession, "near_dup")
+        kept = work.stage(self.groups(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+        once = docs.hint("merge").join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
         if not kept.where("rows > 1").isEmpty():
             again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
             once = once.unionAll(again.dropDuplicates(["doc_id", "text"]))

@@ -103,3 +103,61 @@ def test_components(spark, seed):
             m = min(up.get(a, a), up.get(b, b))
             up[a] = up[b] = m
     assert got == {n: c for n, c in up.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def edited(n, words, most, seed=9, tokens=10**6):
+    """Copies of one text, each with up to so many replaced, dropped or added words."""
+    rng, base = random.Random(seed), [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(most + 1)):
+            at, kind = rng.randrange(len(w)), rng.randrange(4)
+            if kind < 2:
+                w[at] = f"x{rng.randrange(tokens)}"
+            elif kind == 2:
+                del w[at]
+            else:
+                w.insert(at, f"y{rng.randrange(tokens)}")
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_recall_against_brute_force(spark, k, percent):
+    """Links near the threshold, shared edits, several families: every component is the one of all pairs."""
+    rows = edited(260, 90, 9, seed=k) + [(1000 + i, t) for i, t in edited(160, 60, 5, seed=2, tokens=3)]
+    rows += [(2000 + i, f"{t} {' '.join(f'z{i % 7}{j}' for j in range(i % 12))}") for i, t in edited(120, 50, 2, seed=4)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in grouped(spark, full(rows), k, percent)}
+    assert got == brute(rows, k, percent)
+
+
+def test_rows_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """Twice as many near copies of one text make at most about twice as many rows, in every table that is written."""
+
+    def sizes(n):
+        seen = {}
+        real = Workspace.stage
+
+        def stage(self, df, name):
+            out = real(self, df, name)
+            seen[name] = seen.get(name, 0) + out.count()
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(Workspace, "stage", stage)
+            grouped(spark, full(edited(n, 120, 8)))
+        return seen
+
+    one, two = sizes(1000), sizes(2000)
+    assert one["against"] > 1000
+    assert all(two[k] <= 2.6 * one[k] + 200 for k in two)
+
+
+def test_extra_columns_and_long_texts(spark):
+    long = " ".join(f"q{i % 977}r{i % 89}" for i in range(30_000))
+    rows = [(1, long, "a", 1, 2), (2, long + " end", "b", 3, 4), (2, long + " end", "b", 3, 4), (3, "other text stands here", None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hub string, v int, comp int")
+    left = NearDuplicates(5, 80).deduplicate(d)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+    assert NearDuplicates(5, 80).deduplicate(d.where("doc_id > 9")).collect() == []
