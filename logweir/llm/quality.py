@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, labelled_sample, prepare
+from .common import held_out, id_text, labelled_sample, rebatch
 
 CLASSES = np.full(256, 9)
 for _k, _chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\f\v", "\n", ".,;:'\"()-", "!?", "|", "#$%&*<>=+/\\^~_@{}[]`"]):
@@ -88,7 +88,7 @@ def train(x: np.ndarray, y: np.ndarray, worse_share: float, pairs: int = 40_000,
     s = model.worth(x)
     share = np.where(y == 1, (1 - worse_share) / len(good), worse_share / len(bad))
     order = np.argsort(s, kind="stable")
-    k = int(np.searchsorted(np.cumsum(share[order]), worse_share))
+    k = int(np.searchsorted(np.cumsum(share[order]), worse_share - 1e-9)) + 1  # as many lie below as hold that share
     k = min(max(k, 1), len(s) - 1)
     model.threshold = float((s[order[k - 1]] + s[order[k]]) / 2)
     return model
@@ -103,7 +103,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _apply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in rebatch(batches):
             x = np.array([features(t or "") for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
             x = model.mean + np.clip((x - model.mean) / model.scale, -8, 8) * model.scale
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x)), pa.array(model.worth(x))], names=["doc_id", "score", "worth"])
@@ -118,7 +118,6 @@ class QualityRanker:
         self.per_class, self.model = per_class, None
 
     def fit(self, docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> QualityRanker:
-        prepare(docs.sparkSession)
         learn = F.lit(True) if learn is None else learn
         rows = labelled_sample(labels, "quality", learn, self.per_class)
         got = id_text(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label").mapInArrow(_featurise, "doc_id long, label int, x array<double>").collect()
@@ -135,7 +134,12 @@ class QualityRanker:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Contract of op1: learn without the held-out rows, score every document."""
+    """Contract of op1: learn without the held-out rows, score every document.
+
+    A row per row of docs, null ids (held out) and repeated rows included; equal texts have equal scores. Null, empty and blank texts get one score, that of
+    a text without words; texts of any length are read whole. labels that are null or have a null id teach nothing, of an id's several labels
+    the least counts; without labels of both kinds all documents score alike. An empty table gives an empty result; further columns are not read.
+    """
     out = held_out(F.col("doc_id").cast("long"), 3, 1)
     scored = QualityRanker().fit(docs, labels, ~out).score(docs)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worth")

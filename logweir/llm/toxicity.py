@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, labelled_sample, prepare, tidy
+from .common import held_out, id_text, labelled_sample, rebatch, tidy
 from .near_dup import mix
 
 BITS = 18
@@ -71,61 +71,104 @@ class ToxicityModel:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int((p >= 0.3).sum()), int(at[worst]), float(p[worst])
 
 
-def train(texts: list[str], labels: list[int], steps: int = 60, rate: float = 0.5, l2: float = 1e-4, zmin: float = 5.5) -> ToxicityModel:
-    """Adagrad on the noisy-or's log loss, over n-grams whose share of documents differs between
-    the classes by zmin standard errors. Without both classes: the base rate alone, as a bias."""
-    y = np.array(labels, float)
-    size = 1 << BITS
+def differs(n0, n1, total0, total1, root):
+    """By how many standard errors an n-gram's share of documents differs between the classes; numbers, arrays or columns."""
+    whole = (n0 + n1) / (total0 + total1)
+    gap = n1 / total1 - n0 / total0
+    return root(gap * gap) / root((whole * (1 - whole) + 1e-9) * (1 / total0 + 1 / total1))
+
+
+def bag(text: str, keep: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of sentences; the kept n-grams of the text and the sentence of each."""
+    ids, at = grams(text)
+    if not len(at):
+        return 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
+    inst = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, ids.shape[1])))
+    kept = keep[ids]
+    return len(at), np.concatenate([row[k] for row, k in zip(ids, kept, strict=True)]), np.concatenate([inst[k] for k in kept])
+
+
+def constant(labels: list[int]) -> ToxicityModel:
+    """Without both classes: the base rate alone, as a bias."""
+    return ToxicityModel(np.zeros(len(GRAMS) << BITS), 4.0 if labels and labels[0] else -12.0)
+
+
+def train(texts: list[str], labels: list[int], zmin: float = 5.5, **kw) -> ToxicityModel:
+    """As ``ToxicityClassifier.fit``, on texts at hand."""
+    y = np.array(labels)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(len(GRAMS) * size), 4.0 if len(y) and y[0] else -12.0)
-    df = np.zeros((2, len(GRAMS) * size))
+        return constant(labels)
+    df = np.zeros((2, len(GRAMS) << BITS))
     for k, t in enumerate(texts):
         df[labels[k], np.unique(grams(t)[0])] += 1
-    total = np.array([[(y == 0).sum()], [(y == 1).sum()]])
-    rate_of, whole = df / total, df.sum(axis=0) / total.sum()
-    error = np.sqrt((whole * (1 - whole) + 1e-9) * (1 / total).sum())
-    keep = np.abs(rate_of[1] - rate_of[0]) / error >= zmin
-    feats, insts, bags, n = [], [], [], 0
-    for k, t in enumerate(texts):  # once more: only what is kept takes memory
-        ids, at = grams(t)
-        if not len(at):
-            continue
-        inst = np.repeat(np.arange(len(at)), np.diff(np.append(at, ids.shape[1]))) + n
-        for row in ids:
-            feats.append(row[keep[row]])
-            insts.append(inst[keep[row]].astype(np.int32))
-        bags.append(np.full(len(at), k))
-        n += len(at)
-    if not bags:
-        return ToxicityModel(np.zeros(len(GRAMS) * size), -12.0)
-    f, inst, bag = np.concatenate(feats), np.concatenate(insts), np.concatenate(bags)
+    keep = differs(df[0], df[1], (y == 0).sum(), (y == 1).sum(), np.sqrt) >= zmin
+    return learn([(*bag(t, keep), label) for t, label in zip(texts, labels, strict=True)], **kw)
+
+
+def learn(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ToxicityModel:
+    """Adagrad on the noisy-or's log loss of bags (sentences, n-grams, their sentences, label)."""
+    y = np.array([b[3] for b in bags], float)
+    sizes = np.array([b[0] for b in bags])
+    n = int(sizes.sum())
+    if not n:
+        return ToxicityModel(np.zeros(len(GRAMS) << BITS), -12.0)
+    first = np.cumsum(sizes) - sizes
+    f = np.concatenate([b[1] for b in bags])
+    inst = np.concatenate([b[2] + at for b, at in zip(bags, first, strict=True)])
+    of = np.repeat(np.arange(len(bags)), sizes)
     used, f = np.unique(f, return_inverse=True)
     w, gw, b, gb = np.zeros(len(used)), np.full(len(used), 1e-6), START, 1e-6
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for _ in range(steps):
-        z = np.clip(np.bincount(inst, w[f], n) + b, -30, 30)
-        p = np.minimum(1 / (1 + np.exp(-z)), 1 - 1e-9)
-        none = np.exp(np.bincount(bag, np.log1p(-p), len(y)))
-        whole = np.maximum(1 - none, 1e-9)
-        g = p * np.where(y == 1, -none / whole, 1.0)[bag] * share[bag] / len(y)
-        d = np.bincount(f, g[inst], len(used)) + l2 * w
+        d, db = gradient(w, b, f, inst, of, y, share)
+        d += l2 * w
         gw += d * d
         w -= rate * d / np.sqrt(gw)
-        db = g.sum()
         gb += db * db
         b -= rate * db / np.sqrt(gb)
-    full = np.zeros(len(GRAMS) * size)
+    full = np.zeros(len(GRAMS) << BITS)
     full[used] = w
     return ToxicityModel(full, float(b))
 
 
+def gradient(w: np.ndarray, b: float, f: np.ndarray, inst: np.ndarray, of: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the weighted mean log loss of the bags' noisy-or, by weights and bias. f: n-grams, inst: their sentences, of: the sentences' bags."""
+    z = np.clip(np.bincount(inst, w[f], len(of)) + b, -30, 30)
+    p = np.minimum(1 / (1 + np.exp(-z)), 1 - 1e-9)
+    none = np.exp(np.bincount(of, np.log1p(-p), len(y)))
+    whole = np.maximum(1 - none, 1e-9)
+    g = p * np.where(y == 1, -none / whole, 1.0)[of] * share[of] / len(y)
+    return np.bincount(f, g[inst], len(w)), float(g.sum())
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, label) -> n-gram, documents of either label that hold it, summed over a task."""
+    df = np.zeros((2, len(GRAMS) << BITS), np.int64)
+    for b in rebatch(batches):
+        for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            df[label, np.unique(grams(t)[0])] += 1
+    ids = np.flatnonzero(df.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(df[0, ids]), pa.array(df[1, ids])], names=["gram", "n0", "n1"])
+
+
+def _bags(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(len(GRAMS) << BITS, bool)
+        keep[shared.value] = True
+        for b in rebatch(batches):
+            got = [bag(t, keep) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "n", "grams", "sentences"])
+
+    return tidy(run)
+
+
 SCORES = "doc_id long, score double, n_toxic_sentences int, worst_start int, worst_score double"
 
 
 def _apply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in rebatch(batches):
             got = [model.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], k) for i, k in enumerate((pa.float64(), pa.int32(), pa.int32(), pa.float64())))], names=["doc_id", "score", "n_toxic_sentences", "worst_start", "worst_score"])
 
@@ -133,18 +176,29 @@ def _apply(shared):
 
 
 class ToxicityClassifier:
-    """per_class, max_chars: the learning sample's documented bounds (documents of each label; their length)."""
-
-    def __init__(self, per_class: int = 3000, max_chars: int = 40_000):
-        self.per_class, self.max_chars, self.model = per_class, max_chars, None
-
-    def fit(self, docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> ToxicityClassifier:
-        """labels (doc_id, toxic). learn: which rows of labels to learn from, by default all."""
-        prepare(docs.sparkSession)
-        rows = labelled_sample(labels, "toxic", F.lit(True) if learn is None else learn, self.per_class)
-        text = id_text(docs).where(F.length("text") <= self.max_chars)
-        got = sorted((r.doc_id, r.text, r.label) for r in text.join(F.broadcast(rows), "doc_id").collect())
-        self.model = train([g[1] for g in got], [g[2] for g in got])
+    """per_class, max_chars: the learning sample's documented bounds (documents of each label; their length).
+    zmin: standard errors by which an n-gram's share of documents must differ between the classes."""
+
+    def __init__(self, per_class: int = 3000, max_chars: int = 40_000, zmin: float = 5.5):
+        self.per_class, self.max_chars, self.zmin, self.model = per_class, max_chars, zmin, None
+
+    def fit(self, docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> ToxicityClassifier:
+        """labels (doc_id, toxic). learn_from: which rows of labels to learn from, by default all.
+
+        N-grams are counted and selected in Spark; the driver gets the selected ones of the sample, never a text.
+        """
+        rows = labelled_sample(labels, "toxic", F.lit(True) if learn_from is None else learn_from, self.per_class)
+        text = id_text(docs).where(F.length("text") <= self.max_chars).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
+        n = {r.label: r.n for r in text.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if len(n) < 2:
+            self.model = constant(list(n))
+            return self
+        df = text.select("text", "label").mapInArrow(_counts, "gram int, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        kept = df.where(differs(F.col("n0"), F.col("n1"), n[0], n[1], F.sqrt) >= self.zmin).select("gram").collect()
+        shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r.gram for r in kept), np.int64))
+        got = text.mapInArrow(_bags(shared), "doc_id long, label int, n int, grams binary, sentences binary").collect()
+        got = sorted((r.doc_id, r.label, r.n, bytes(r.grams), bytes(r.sentences)) for r in got)
+        self.model = learn([(g[2], np.frombuffer(g[3], np.int32), np.frombuffer(g[4], np.int32), g[1]) for g in got])
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -152,7 +206,6 @@ class ToxicityClassifier:
         shared = docs.sparkSession.sparkContext.broadcast(self.model)
         return id_text(docs).mapInArrow(_apply(shared), SCORES)
 
-
     def clean(self, docs: DataFrame, at: float = 0.3) -> DataFrame:
         """docs without those that score ``at`` or more; all other rows and all columns stay."""
         shared = docs.sparkSession.sparkContext.broadcast(self.model)
@@ -162,7 +215,7 @@ class ToxicityClassifier:
 def _keep(shared, at: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in rebatch(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([model.score(t or "")[0] < at for t in texts], pa.bool_()))
 
@@ -170,7 +223,13 @@ def _keep(shared, at: float):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
-    """Contract of op9: learn without the held-out rows, score every document."""
+    """Contract of op9: learn without the held-out rows, score every document.
+
+    A row per row of docs, null ids (held out) and repeated rows included; equal texts have equal scores. Null and empty texts score 0 and offend nowhere
+    (worst_start -1); texts of any length are scored whole, and of equally bad sentences the first is the worst. labels that are null or have a null id teach
+    nothing, of an id's several labels the least counts; without labels of both kinds all texts score alike. An empty table gives an
+    empty result; further columns are not read.
+    """
     out = (held_out(F.col("doc_id").cast("long"), 4, 2)).alias("held_out")
     scored = ToxicityClassifier().fit(docs, labels, ~held_out(F.col("doc_id").cast("long"), 4, 2)).score(docs)
     return scored.select("doc_id", out, "score", (F.col("score") >= at).cast("int").alias("predicted"), "n_toxic_sentences", "worst_start", "worst_score")
