@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by NN-descent.
 
 A neighbour graph is started from sorted random-hyperplane codes and refined by joins of neighbours'
-neighbours (Dong et al., 2011): whoever shares a neighbour is compared. When no list changes much
+neighbours (Dong et al., 2011): whoever shares a neighbour is compared. A list that is full of links is
+saturated: there may be more, so its bound doubles from turn to turn. When few lists change
 any more, edges at or above the threshold are kept and their components found. The descent promises
-no recall, so it decides nothing alone: an exact pass compares all vectors of a label in blocks of
-bounded size, counts every link and joins the components that the descent left apart. Equal vectors
+no recall, so an exact check follows: all vectors of a label are compared in blocks of bounded size, which counts
+every link, audits the descent (``measured``) and joins what it left apart. A block's vectors travel as one row. Equal vectors
 are one vertex with a count throughout.
 """
 
@@ -19,18 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, prepare
+from .common import Workspace, rebatch
 from .components import UnionFind, connected_components
 
 BITS = 24  # hyperplanes of a code
-BLOCK = 2048  # vectors of a label that meet as one side of a unit
+BLOCK = 8192  # vectors of a label that meet as one side of a unit
 STRIP = 256  # rows of a unit that are multiplied at once
 READ = "vec_id long, node binary, label string, dim int, vec binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node is null for vectors that link with nothing."""
-    for b in batches:
+    for b in rebatch(batches, 4096):
         node, vec, dim, labels = [], [], [], b.column(1).to_pylist()
         for x, label in zip(b.column(2).to_pylist(), labels, strict=True):
             v = np.array([], float) if x is None or label is None or any(c is None for c in x) else np.array(x, "<f8")
@@ -49,9 +50,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.binary()), b.column(1), pa.array(dim, pa.int32()), pa.array(vec, pa.binary())], names=["vec_id", "node", "label", "dim", "vec"])
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
+def unit(raw: list[bytes], rows: int | None = None) -> np.ndarray:
     """Rows of length one, in double precision."""
-    v = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    v = np.frombuffer(b"".join(raw), "<f8").reshape(rows or len(raw), -1)
     m = np.abs(v).max(axis=1, keepdims=True)
     v = v / m
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
@@ -62,7 +63,7 @@ def _codes(seed: int, tables: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in rebatch(batches, 4096):
             dims = b.column(2).to_numpy()
             for d in np.unique(dims):
                 part = b.filter(pa.array(dims == d))
@@ -147,19 +148,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]
 
 
 def _local_join(best: int):
-    """Members of a centre's neighbourhood (centre, chunk, node, least, vec) -> improving pairs."""
+    """Members of a centre's neighbourhood (centre, chunk, node, least, fresh, vec) -> improving pairs with a fresh member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
-        for _, _, node, least, raw in _groups(batches, 2):
-            if len(node) > 1:
+        for _, _, node, least, fresh, raw in _groups(batches, 2):
+            if len(node) > 1 and any(fresh):
                 v = unit(raw)
                 s = v @ v.T
                 np.fill_diagonal(s, -2)
+                new = np.array(fresh)
+                s[~(new[:, None] | new)] = -2
                 k = min(best, len(node) - 1)
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 for i, j in zip(np.repeat(np.arange(len(node)), k), top.ravel(), strict=True):
-                    if s[i, j] > least[i] and node[i] != node[j]:
+                    if s[i, j] > max(least[i], -2) and node[i] != node[j]:
                         got.append((node[i], node[j], float(s[i, j])))
             if len(got) > 20_000:
                 yield _edges(got)
@@ -169,73 +172,103 @@ def _local_join(best: int):
     return run
 
 
+PACKED = "label string, dim int, own int, n int, nodes binary, comps binary, copies binary, vecs binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, dim, own, node, comp, copies, vec), sorted by the first three -> a row for each block. Nodes have 16 bytes."""
+    for label, dim, own, node, comp, copies, raw in _groups(batches, 3):
+        cols = [[label[0]], [dim[0]], [own[0]], [len(node)], [b"".join(node)], [b"".join(comp)], [np.array(copies, "<i8").tobytes()], [b"".join(raw)]]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
 FOUND = "node binary, links long, joined long, other binary"
 
 
+class _Block:
+    def __init__(self, n: int, nodes: bytes, comps: bytes, copies: bytes, vecs: bytes):
+        cut = lambda x: [x[i : i + 16] for i in range(0, 16 * n, 16)]
+        self.node, self.comp, self.copies = cut(nodes), cut(comps), np.frombuffer(copies, "<i8")
+        v = np.frombuffer(vecs, "<f8").reshape(n, -1)
+        self.x = unit([v.tobytes()], n)
+        self.links, self.joined = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+
 def _exact(threshold: float):
-    """Two blocks of a label (label, dim, u, v, own, node, comp, copies, vec) -> links of each vertex, with copies,
+    """Units of two blocks (u, v, own, n, nodes, comps, copies, vecs), or of one -> links of each vertex, with copies,
     and how many of them lie within its component (other is null); pairs of components (node, other) that links join."""
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "links", "joined", "other"])
 
+    def meet(a: _Block, b: _Block, rows: list[tuple]) -> None:
+        ids = {c: i for i, c in enumerate(dict.fromkeys([*a.comp, *b.comp]))}
+        names, sets = list(ids), UnionFind()
+        of_a, of_b = (np.array([ids[c] for c in x.comp]) for x in (a, b))
+        for at in range(0, len(a.node), STRIP):
+            hit = a.x[at : at + STRIP] @ b.x.T >= threshold
+            if a is b:
+                hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+            i, j = np.nonzero(hit)
+            i += at
+            same = of_a[i] == of_b[j]
+            np.add.at(a.links, i, b.copies[j])
+            np.add.at(a.joined, i[same], b.copies[j[same]])
+            if a is not b:
+                np.add.at(b.links, j, a.copies[i])
+                np.add.at(b.joined, j[same], a.copies[i[same]])
+            for x, y in np.unique(np.stack([of_a[i[~same]], of_b[j[~same]]], axis=1), axis=0).tolist():
+                if sets.union(x, y):
+                    rows.append((names[x], 0, 0, names[y]))
+        for x in (a,) if a is b else (a, b):
+            rows += [(x.node[i], int(x.links[i]), int(x.joined[i]), None) for i in np.flatnonzero(x.links)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for _, _, u, v, own, node, comp, copies, raw in _groups(batches, 4):
-            x, own, copies, sets = unit(raw), np.array(own), np.array(copies), UnionFind()
-            ids = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-            names, group = list(ids), np.array([ids[c] for c in comp])
-            left, right = np.flatnonzero(own == u[0]), np.flatnonzero(own == v[0])
-            links, joined = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-            for at in range(0, len(left), STRIP):
-                part = left[at : at + STRIP]
-                hit = x[part] @ x[right].T >= threshold
-                if u[0] == v[0]:
-                    hit[np.arange(len(part)), np.arange(at, at + len(part))] = False
-                i, j = np.nonzero(hit)
-                i, j = part[i], right[j]
-                same = group[i] == group[j]
-                np.add.at(links, i, copies[j])
-                np.add.at(joined, i[same], copies[j[same]])
-                if u[0] != v[0]:
-                    np.add.at(links, j, copies[i])
-                    np.add.at(joined, j[same], copies[i[same]])
-                for a, b in np.unique(np.stack([group[i[~same]], group[j[~same]]], axis=1), axis=0).tolist():
-                    if sets.union(a, b):
-                        rows.append((names[a], 0, 0, names[b]))
-            rows += [(node[i], int(links[i]), int(joined[i]), None) for i in np.flatnonzero(links)]
-            if len(rows) > 20_000:
-                yield table(rows)
-                rows = []
-        yield table(rows)
+        for _, _, u, v, _, *cols in _groups(rebatch(batches, 1), 4):
+            blocks, rows = [_Block(*c) for c in zip(*cols, strict=True)], []
+            if u[0] == v[0]:
+                meet(blocks[0], blocks[0], rows)
+            elif len(blocks) == 2:  # a block may be empty
+                meet(*blocks, rows)
+            for at in range(0, len(rows), 20_000):
+                yield table(rows[at : at + 20_000])
 
     return run
 
 
 class EmbeddingNeighbours:
-    """k: length of a neighbour list. tables, width: sorted orders of the start, and rows looked ahead in each.
-    turns: refinements at most. measured: share of all links whose ends the descent had joined by itself."""
+    """k: bound of a neighbour list, doubled each turn in which it is full of links, doublings times at most. tables, width: sorted orders of the start, and rows looked ahead in each.
+    turns: refinements at most; they end when less than 2 % of the lists' places change, or when one after the first finds no link. audited: all links, in both directions; measured: the share
+    of them whose ends the descent had joined by itself, which tells nothing if audited is 0."""
 
-    def __init__(self, threshold: float = 0.93, k: int = 10, tables: int = 12, width: int = 8, turns: int = 3, reverse: int = 24):
-        self.threshold, self.k, self.tables, self.width, self.turns, self.reverse = threshold, k, tables, width, turns, reverse
+    def __init__(self, threshold: float = 0.93, k: int = 10, tables: int = 6, width: int = 8, turns: int = 4, reverse: int = 24, doublings: int = 2):
+        self.threshold, self.k, self.tables, self.width, self.turns, self.reverse, self.doublings = threshold, k, tables, width, turns, reverse, doublings
         self.measured: float | None = None
+        self.audited: int | None = None
 
-    def _top(self, edges: DataFrame) -> DataFrame:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        one = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    def _top(self, edges: DataFrame, turn: int) -> DataFrame:
+        """Lists after a turn, of edges (a, b, sim, born): the best k, and of links as many as the doubled bounds allow."""
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "born"))
+        one = both.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-        return one.withColumn("rank", rank).where(F.col("rank") <= self.k)
-
-    def _refine(self, lists: DataFrame, vecs: DataFrame) -> DataFrame:
-        forward = lists.select(F.col("a").alias("c"), F.col("b").alias("node"))
-        back = lists.select(F.col("b").alias("c"), F.col("a").alias("node"))
+        link = (F.col("sim") >= self.threshold) & (F.col("rank") <= self.k << min(turn, self.doublings))
+        return one.withColumn("rank", rank).where((F.col("rank") <= self.k) | link)
+
+    def _refine(self, lists: DataFrame, vecs: DataFrame, turn: int) -> DataFrame:
+        """Pairs that share a neighbour, one of the two being a neighbour since the last turn: the others have met before."""
+        fresh = F.col("born") == turn - 1
+        forward = lists.select(F.col("a").alias("c"), F.col("b").alias("node"), fresh.alias("fresh"))
+        back = lists.select(F.col("b").alias("c"), F.col("a").alias("node"), fresh.alias("fresh"))
         n = back.groupBy("c").agg(F.ceil(F.count("*") / self.reverse).cast("int").alias("chunks"))
-        back = back.join(n, "c").select("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node")
-        forward = forward.join(n, "c", "left").select("c", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), "node")
+        live = forward.unionAll(back).where("fresh").select("c").distinct()
+        back = back.join(n, "c").select("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "fresh")
+        forward = forward.join(n, "c", "left").select("c", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), "node", "fresh")
         least = lists.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") < self.k, F.lit(-1.0)).otherwise(F.min("sim")).alias("least"))
-        rows = forward.unionAll(back).distinct().join(vecs.join(least, "node").select("node", "least", "vec"), "node")
-        rows = rows.select("c", "chunk", "node", "least", "vec").repartition("c", "chunk").sortWithinPartitions("c", "chunk")
+        rows = forward.unionAll(back).join(live, "c", "left_semi").groupBy("c", "chunk", "node").agg(F.max("fresh").alias("fresh"))
+        rows = rows.join(vecs.join(least, "node").select("node", "least", "vec"), "node")
+        rows = rows.select("c", "chunk", "node", "least", "fresh", "vec").repartition("c", "chunk").sortWithinPartitions("c", "chunk")
         return rows.mapInArrow(_local_join(4), EDGES)
 
     def links(self, table: DataFrame) -> DataFrame:
@@ -243,10 +276,11 @@ class EmbeddingNeighbours:
 
         Vectors of one label and length link at a cosine of ``threshold`` or more. Vectors, or
         labels, that are null, zero vectors and those with null or non-finite components link with
-        nothing. A null vec_id has a null component and is kept, and is no other row's component.
+        nothing. A null vec_id has a null component and is kept, and is no other row's component. Repeated rows link with each other like other
+        equal vectors. Vectors of any length are compared whole; a cosine of exactly the threshold is a link, and among ties ids decide, so no result depends on order.
+        An empty table gives an empty result; further columns are not read.
         """
         spark = table.sparkSession
-        prepare(spark)
         work = Workspace(spark, "embed_dup")
         rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
         t = work.stage(rows.mapInArrow(_read, READ), "vectors")
@@ -257,18 +291,22 @@ class EmbeddingNeighbours:
         codes = codes.repartitionByRange("tab", "label", "dim", "code", "node").sortWithinPartitions("tab", "label", "dim", "code", "node")
         seen = work.stage(codes.mapInArrow(_along(self.width, 3), EDGES), "edges")
         close = seen.where(F.col("sim") >= self.threshold)
-        lists = work.stage(self._top(seen), "lists")
-        for _ in range(self.turns):
-            new = work.stage(self._refine(lists, vecs), "edges")
+        lists = work.stage(self._top(seen.withColumn("born", F.lit(0)), 0), "lists")
+        for turn in range(1, self.turns + 1):
+            new = work.stage(self._refine(lists, vecs, turn), "edges")
             close = close.unionAll(new.where(F.col("sim") >= self.threshold))
-            if new.count() < 0.02 * total * self.k:
+            both = lists.select("a", "b", "sim", "born").unionAll(new.withColumn("born", F.lit(turn)))
+            old, lists = lists, work.stage(self._top(both, turn), "lists")
+            work.drop(old)
+            changed, linked = lists.where(F.col("born") == turn).agg(F.count("*"), F.sum((F.col("sim") >= self.threshold).cast("long"))).first()
+            if changed < 0.02 * total * self.k or (turn > 1 and not linked):
                 break
-            lists = work.stage(self._top(lists.select("a", "b", "sim").unionAll(new)), "lists")
         comps = connected_components(work, close.select("a", "b"))
         of = vecs.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         of = work.stage(of.select("node", "label", "dim", "copies", "rep", "comp", "vec"), "joined")
         found = work.stage(self._all_pairs(of), "found")
         got = found.agg(F.sum("links"), F.sum("joined")).first()
+        self.audited = got[0] or 0
         self.measured = got[1] / got[0] if got[0] else 1.0
         roots = connected_components(work, found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
         roots = roots.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
@@ -285,7 +323,9 @@ class EmbeddingNeighbours:
         """Every pair of vectors of a label and length meets in one unit of two blocks."""
         size = of.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         m = of.join(size, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        m = m.select("label", "dim", "own", "node", "comp", "copies", "vec").repartition("label", "dim", "own").sortWithinPartitions("label", "dim", "own")
+        m = m.mapInArrow(_packed, PACKED).join(size, ["label", "dim"])
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select("label", "dim", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "comp", "copies", "vec")
+        m = m.select("label", "dim", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "n", "nodes", "comps", "copies", "vecs")
         m = m.repartition("label", "dim", "u", "v").sortWithinPartitions("label", "dim", "u", "v")
         return m.mapInArrow(_exact(self.threshold), FOUND)

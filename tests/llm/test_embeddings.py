@@ -63,3 +63,23 @@ def test_links_that_the_descent_misses(spark):
     e = EmbeddingNeighbours(tables=1, width=4, turns=0)
     got = {r.vec_id: (r.n_links, r.component_id) for r in e.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == brute(rows) and e.measured < 1.0
+
+
+def test_saturated_lists_grow(spark):
+    """A group far larger than a list, two groups in touch, repeated rows and ties at equal distances."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal(16)
+    rows = [(i, (a + 0.08 * rng.standard_normal(16)).tolist(), 1) for i in range(150)]
+    rows += [(300 + i, (3 * rng.standard_normal(16)).tolist(), 1 + i % 2) for i in range(60)] + [(500 + i, rows[0][1], 1) for i in range(3)] + [rows[5]]
+    rows += [(600 + i, [1.0 if j == i else 0.0 for j in range(16)], 2) for i in range(8)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    e = EmbeddingNeighbours(k=4)
+    out = e.links(d).collect()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out}
+    want = brute([(1000 + i if n == len(rows) - 9 else i, v, y) for n, (i, v, y) in enumerate(rows)])
+    again = want.pop(1005)
+    assert len(out) == len(rows) and got == want | {5: (again[0], again[1])}
+    assert 0.9 <= e.measured <= 1.0
+    assert e.audited > 20_000
+    none = EmbeddingNeighbours()
+    assert none.links(d.where("label = 9")).collect() == [] and none.audited == 0
