@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, tidy
+from .common import id_text, rebatch, tidy
 from .near_dup import mix
 
 Q = 8  # bytes: a q-gram is one 64-bit number
 FILTER_BITS = 22
 PENALTY = 3.0  # of an edit in alignments; a match counts 1
+ORIGIN = 1 << 36  # added to diagonals, so that they are positive for texts of any length
+WHOLE = 4096  # bytes of items that are aligned whole
+EXPANDED = 1 << 21  # pairs of a document's and an item's position that are held at once
 
 
 def normal(text: str) -> bytes:
@@ -70,10 +73,24 @@ class Items:
         at, k = at[hit], k[hit]
         if not len(at):
             return []
+        ends = np.cumsum(self.count[k])
+        if ends[-1] <= EXPANDED:
+            return self._dense(at, k)
+        out, start = [], 0
+        reach = int(self.w.max() + self.e.max()) + Q  # a dense stretch is no longer
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + EXPANDED)))
+            back = int(np.searchsorted(at, at[start] - reach))  # parts overlap by a stretch
+            out += self._dense(at[back:stop], k[back:stop])
+            start = stop
+        return out
+
+    def _dense(self, at: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Of the document's positions at with the q-grams k: the regions."""
         n = self.count[k]
         i = np.repeat(at, n)
         j = np.repeat(self.first[k], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        item, diag = self.item[j], i - self.pos[j] + (1 << 20)
+        item, diag = self.item[j], i - self.pos[j] + ORIGIN
         out = []
         for shift in (0, self.half):
             key = item * (1 << 40) + (diag + shift) // (2 * self.half)
@@ -89,7 +106,7 @@ class Items:
                     continue
                 dense = np.flatnonzero(x[t - 1 :] - x[: len(x) - t + 1] <= self.w[m] + self.e[m])
                 if dense.size:
-                    mid = int(key[s] % (1 << 40)) * 2 * self.half - shift + self.half - (1 << 20)
+                    mid = int(key[s] % (1 << 40)) * 2 * self.half - shift + self.half - ORIGIN
                     runs = np.split(dense, np.flatnonzero(np.diff(x[dense]) > len(self.texts[m])) + 1)
                     out += [(m, mid, int(x[r[0]]), int(x[r[-1] + t - 1]) + Q) for r in runs]
         return out
@@ -97,10 +114,13 @@ class Items:
     def verify(self, data: bytes, region: tuple[int, int, int, int]) -> tuple[int, int, int] | None:
         """(item, start, end) in the normal text if a local alignment is long and close enough."""
         m, mid, lo, hi = region
-        a = np.frombuffer(self.texts[m], np.uint8)
-        reach = 2 * self.half
+        a, reach = np.frombuffer(self.texts[m], np.uint8), 2 * self.half
+        if len(a) > WHOLE:  # of a long item, what lies around the region
+            margin = int(self.w[m]) + reach
+            start, stop = max(0, lo - mid - margin), max(0, hi - mid + margin)
+            a, mid = a[start:stop], mid + start
         lo, hi = max(0, min(lo, mid) - reach), min(len(data), max(hi, mid + len(a)) + reach)
-        if (p := data.find(self.texts[m], lo, hi)) >= 0:  # without edits the alignment is known
+        if (p := data.find(a.tobytes(), lo, hi)) >= 0:  # without edits the alignment is known
             return m, p, p + len(a)
         b = np.frombuffer(data, np.uint8)[lo:hi]
         score, ea, eb = banded(a, b, mid - lo, reach)
@@ -151,7 +171,7 @@ def _find(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for b in batches:
+        for b in rebatch(batches):
             got = [[(items.ids[m], s, e) for m, s, e in items.found(t)] for t in b.column(1).to_pylist()]
             if b.num_columns > 2:
                 before = [[tuple(map(int, x.split(":"))) for x in t.split(",") if x] for t in b.column(4).to_pylist()]
@@ -189,17 +209,18 @@ class Decontaminator:
     def find(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """A row per row of docs: contaminated, the items found, spans item:start:end in bytes of the normal text.
 
-        Null and empty texts, and items shorter than q bytes, match nothing.
+        Null and empty texts, and items shorter than q bytes, match nothing; neither do items with a null id or text. Repeated rows and
+        null ids stay rows of their own. Findings of one passage by several items are all listed, by place and then by item id; items
+        that repeat an id and a text count once. An empty benchmark finds nothing, an empty table gives an empty result, and further columns are not read.
         """
         spark = docs.sparkSession
-        prepare(spark)
         out, slices = id_text(docs), [spark.sparkContext.broadcast(i) for i in self._slices(benchmark)]
         for i in slices[:-1]:
             out = out.mapInArrow(_find(i), FOUND.replace(", ", ", text string, ", 1))
         return out.mapInArrow(_drop_text(_find(slices[-1])), FOUND)
 
     def clean(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-        """docs without the contaminated ones; all other rows and all columns stay."""
+        """docs without the contaminated ones; all other rows (null and empty texts, repeated rows, null ids) and all columns stay."""
         out = docs
         for items in self._slices(benchmark):
             shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -210,7 +231,7 @@ class Decontaminator:
 def _keep(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for b in batches:
+        for b in rebatch(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([not items.found(t or "") for t in texts], pa.bool_()))
 
