@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare, tidy
+from .common import id_text, rebatch, tidy
 
 # The base rules, as the contract states them.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -29,6 +29,7 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 
 # Dotted runs are one candidate. A sign = ends a name and may pad a value, but is no part of either.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END", re.ASCII)  # its lines are one candidate
 SHORTEST, ALONE = 8, 20  # least characters after a separator, as the base rule's values, and after mere space, as in prose
 NAMES = "key|auth|bearer|credential|pwd|pass|secret|token|private|signature|cookie|session|jwt|access|salt"
 SENSITIVE = re.compile(NAMES, re.IGNORECASE | re.ASCII)
@@ -108,6 +109,13 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float) -> l
     out = []
     if not SENSITIVE.search(text):  # no candidate can have a context
         return out
+    if "PRIVATE KEY" in text:
+        for m in PRIVATE.finditer(text):
+            s, e = m.span(1)
+            free = not any(a < e and s < b for a, b, _ in taken)
+            if free and e - s >= ALONE and novelty(text[max(0, s - AROUND) : s], m[1], text[e : e + AROUND]) >= least * expected(m[1]):
+                out.append((s, e, "novel"))
+        taken = taken + out
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if e - s < SHORTEST or any(a < e and s < b for a, b, _ in taken):
@@ -145,7 +153,7 @@ FOUND = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, ba
 
 def _scan(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatch(batches):
             cols: list[list] = [[] for _ in range(6)]
             for t in b.column(1).to_pylist():
                 spans = scan(t, least)
@@ -162,15 +170,16 @@ def _scan(least: float):
 def find_secrets(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ...) -> a row per row: counts by kind, digest of the base spans, all spans.
 
-    A null or empty text has none: zero counts, the digest of nothing, an empty string.
+    A null or empty text has none: zero counts, the digest of nothing, an empty string. Spans that start together are listed by kind; a novel
+    span never overlaps a base one. Repeated rows and null ids are rows like others; texts of any length are read whole.
+    An empty table gives an empty result; further columns are not read.
     """
-    prepare(docs.sparkSession)
     return id_text(docs).mapInArrow(_scan(least), FOUND)
 
 
 def _redact(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatch(batches):
             at = b.schema.get_field_index("text")
             texts = [t and redact(t, scan(t, least)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, pa.string()))
@@ -179,8 +188,7 @@ def _redact(least: float):
 
 
 def redact_secrets(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs with every span masked in ``text``; other columns and rows stay. n_chars follows the text if it is there."""
-    prepare(docs.sparkSession)
+    """docs with every span masked in ``text``; other columns and all rows stay, null and empty texts as they are. n_chars follows the text if it is there."""
     out = docs.mapInArrow(_redact(least), docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
