@@ -19,8 +19,6 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session may leave it out: then one below the warehouse."""
@@ -75,12 +73,6 @@ class Workspace:
             _delete(self.spark, path)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long documents stays within a worker's memory."""
-    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
-        spark.conf.set(ARROW_ROWS, "512")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

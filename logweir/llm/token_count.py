@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, prepare
+from .common import id_text, rebatch
 from .tokenize import GPT_PATTERN, ByteBpe, byte_bpe
 
 WORD = regex.compile(GPT_PATTERN)
@@ -86,7 +86,7 @@ def _count(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         sync = Resync(bpe, chunk, overlap)
-        for b in batches:
+        for b in rebatch(batches):
             texts = b.column(1)
             n = []
             for t in texts.to_pylist():
@@ -99,7 +99,10 @@ def _count(path: str, chunk: int, overlap: int):
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row; a null or empty text has 0 and 0."""
-    prepare(docs.sparkSession)
+    """doc_id, n_bytes, n_tokens, over_limit of each row.
+
+    A null or empty text has 0 and 0; texts of any length are counted whole, in chunks. Repeated rows are counted as often as they come, a null id
+    is carried through, no choice among ties arises. An empty table gives an empty result; further columns are not read.
+    """
     got = id_text(docs).mapInArrow(_count(path, chunk, overlap), "doc_id long, n_bytes long, n_tokens long")
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -90,6 +90,27 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_odd_documents(spark, tmp_path):
+    """Null ids, repeated rows, an id with two texts, a very long text and columns whose names clash with the operators' own."""
+    long = " ".join(f"calm{i % 4999} word{i % 613}" for i in range(40_000))
+    rows = [(None, "a note without an id", 1), (None, None, 2), (1, "the same row twice over", 3), (1, "the same row twice over", 3), (2, "an id with one text", 4), (2, "and with quite another text here", 5), (3, long, 6), (4, long + " tail", 7)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k, "x", 0.5, [k]) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, node long, label string, score double, bands array<int>")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns, name
+    left = sorted((r.doc_id or 0, r.text or "", r.node) for r in out.collect())
+    assert [(i, k) for i, _, k in left] == [(0, 2), (0, 1), (1, 3), (2, 5), (2, 4), (3, 6)] and left[-1][1] == long
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in pieces}) == 4 and sum(r.start == 0 for r in pieces) == 6
+    for i in (3,):
+        own = sorted((r.start, r.length, r.doc_tokens) for r in pieces if r.doc_id == i)
+        assert sum(n for _, n, _ in own) == own[0][2] and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:], strict=False))
+
+
 def test_registered():
     e = importlib.import_module("__spark_entry__")
     names = set(e.queries())

@@ -179,3 +179,16 @@ def test_best_fit_against_brute_force():
         got = best_fit.best_fit(n, 64)
         fill = np.bincount(got, weights=n)
         assert fill.max() <= 64 and sorted(64 - fill) == sorted(rooms)
+
+
+def test_written_rows_come_back(spark, tmp_path):
+    import public_tokenizers as P
+
+    from logweir.llm import best_fit
+
+    docs = spark.createDataFrame([(1, "some words here"), (1, "some words here"), (None, None), (2, "more " * 5000)], "doc_id long, text string")
+    rows = best_fit.pack_rows(docs, P.path("word_bpe_49k.json"))
+    best_fit.write_rows(rows, str(tmp_path / "rows"))
+    back = spark.read.parquet(str(tmp_path / "rows")).collect()
+    assert sum(r.n_tokens for r in back) == sum(r.n_tokens for r in rows.collect())
+    assert all(len(r.ids) == 4 * 2048 and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1] for r in back)
