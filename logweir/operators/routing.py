@@ -53,6 +53,15 @@ def coordinator_for(groups: DataFrame, nodes: list[int]) -> DataFrame:
     return groups.select("grp", F.element_at(ids, coordinator_index(F.col("grp"), len(nodes)) + 1).alias("coordinator"))
 
 
+def partition_leader(parts: DataFrame, registered: DataFrame, nodes: list[int], self_id: int) -> DataFrame:
+    """parts (topic, part) -> leader and leader epoch: the registered owner (topic, part, owner, leader_epoch), else the one that the
+    hash names, else, without any node, oneself; epochs of partitions that are not registered are 0."""
+    r = parts.join(registered, ["topic", "part"], "left")
+    ids = F.array(*[F.lit(i) for i in sorted(nodes)]) if nodes else None
+    named = F.element_at(ids, leader_index(F.col("topic"), F.col("part"), len(nodes)) + 1) if nodes else F.lit(None).cast("int")
+    return r.select("topic", "part", F.coalesce("owner", named, F.lit(self_id)).cast("int").alias("leader"), F.coalesce("leader_epoch", F.lit(0)).cast("int").alias("leader_epoch"))
+
+
 def leader_balance(topic: DataFrame, nodes: list[int], partitions: int) -> DataFrame:
     """topic (topic) -> partitions led by each node, and whether that is more than 0 and less than three even shares."""
     parts = topic.select("topic", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("part"))

@@ -221,6 +221,20 @@ def sequence_gap(batches: DataFrame) -> DataFrame:
     return batches.where("producer_id >= 0").withColumn("expected", want).where(F.col("base_sequence") != F.col("expected"))
 
 
+def recent_batches(batches: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """Of each producer, partition and epoch the last distinct sequences by commit: what a retry is compared with."""
+    last = batches.where("producer_id >= 0").groupBy(*IDEMPOTENT, "base_sequence").agg(F.min(F.struct("commit_seq", "batch_idx")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy(*IDEMPOTENT).orderBy(F.desc("at")))
+    return last.withColumn("rank", rank).where(F.col("rank") <= remembered).select(*IDEMPOTENT, "base_sequence", F.col("at.commit_seq").alias("commit_seq"), "rank")
+
+
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """existing and those rows of new whose key it lacks; of new rows with one key the least."""
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return existing.unionByName(once.join(existing.select(*keys), keys, "left_anti"))
+
+
 def partition_key(topic, partition):
     return F.concat_ws("/", topic, partition.cast("string"))
 

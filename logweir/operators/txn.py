@@ -88,6 +88,12 @@ def aborted_ranges(captured: DataFrame, off: int) -> DataFrame:
     return captured.where((F.col("state") == "aborted") & (F.col("last_offset") >= off)).select("producer", "topic", "part", "first_offset", "last_offset")
 
 
+def markers(captured: DataFrame) -> DataFrame:
+    """The control records that end transactions: one for each partition that an ended one wrote to, placed after its last record; type 1 commits, 0 aborts."""
+    ended = captured.where(F.col("state").isin("committed", "aborted"))
+    return ended.select("producer", "init_seq", "topic", "part", (F.col("last_offset") + 1).alias("after"), (F.col("state") == "committed").cast("int").alias("type"))
+
+
 def fence_epochs(txn: DataFrame, commits: DataFrame) -> DataFrame:
     """commits (commit_seq, producer_id, seq) -> commit_seq, producer_id, epoch of the transaction that is open at seq: what fences batches below it."""
     marks = txn.where(F.col("kind").isin(*ENDS)).select(F.col("producer").alias("producer_id"), "seq", "kind", F.lit(None).cast("long").alias("commit_seq"))

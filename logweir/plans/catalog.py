@@ -7,19 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import admin, analytics, compaction, groups, loglayer, routing, sequencer, txn, views
 from . import extended
-from .model import BAT, FNV, MEM, PST, REC, ST, TXN, COM
+from .model import BAT, COM, FNV, IDEM, MEM, PST, REC, ST, TXN
 
 NODES = [1, 2, 3]
 TS = "2024-01-01 12:00:00"
 
-# Synthetic idempotent batches: a producer's batches of two records, every seventh one repeated at once, every fifth one
-# followed by a retry of the producer's batch up to eight before it, and every thirteenth without a producer.
-IDEM = """idem0 AS (SELECT o_orderkey AS commit_seq, CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_custkey % 97 END AS producer_id, o_orderpriority AS topic, CAST(o_custkey % 4 AS INTEGER) AS partition,
- CAST(CASE WHEN o_orderkey % 13 = 0 THEN -1 WHEN o_orderkey % 101 = 0 THEN 0 ELSE 1 END AS INTEGER) AS producer_epoch, o_orderkey AS k FROM orders),
- idem1 AS (SELECT *, CAST(CASE WHEN producer_id < 0 THEN -1 ELSE 2 * (row_number() OVER (PARTITION BY producer_id, topic, partition ORDER BY k) - 1) END AS INTEGER) AS base_sequence FROM idem0),
- idem AS (SELECT commit_seq, producer_id, topic, partition, producer_epoch, base_sequence, 0 AS batch_idx, 2 AS record_count FROM idem1
- UNION ALL SELECT commit_seq, producer_id, topic, partition, producer_epoch, base_sequence, 1, 2 FROM idem1 WHERE k % 7 = 0
- UNION ALL SELECT commit_seq, producer_id, topic, partition, producer_epoch, CAST(base_sequence - 2 * (k % 9) AS INTEGER), 2, 2 FROM idem1 WHERE k % 5 = 0 AND producer_id >= 0 AND base_sequence >= 2 * (k % 9))"""
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")

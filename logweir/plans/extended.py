@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import frames, payload
 from ..functions.fnv import big_endian_32
 from ..functions.prefix import exclusive_sum
-from ..operators import analytics, compaction, flush, groups, loglayer, routing, txn, views
+from ..operators import analytics, compaction, flush, groups, loglayer, routing, sequencer, txn, views
 from ..streaming import ingest
-from .model import BAT, COM, FNV, MEM, PST, REC, TXN
+from .model import BAT, COM, FNV, IDEM, MEM, PST, REC, TXN
 
 POLICY = flush.FlushPolicy(linger_us=900_000_000, max_bytes=2_000, max_batches=24)
 BROKERS = [(3, "c", 9094), (1, "a", 9092), (2, "b", 9093)]
@@ -159,6 +159,16 @@ def _synced(spark, d):
     return groups.sync(ask, _mem(spark, d), given)
 
 
+def _recent(spark, d):
+    from .catalog import idempotent_batches
+
+    return sequencer.recent_batches(idempotent_batches(_t(spark, d, "orders")))
+
+
+def _parts(spark, d):
+    return _bat(spark, d).select("topic", "part").distinct()
+
+
 def _arrivals(spark, d):
     e = _t(spark, d, "events")
     return e.select((F.col("user_id") % 4).cast("int").alias("broker"), F.col("event_id").alias("seq"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), (F.length("props") + 28).cast("long").alias("bytes"))
@@ -179,6 +189,10 @@ def queries() -> dict:
         "txn_aborted": lambda s, d: txn.aborted_ranges(txn.ranges(_txn(s, d), _rec(s, d)), 20),
         "txn_fence_epochs": _fences,
         "txn_expired": lambda s, d: txn.expired(_txn(s, d), 12_000, 2_100),
+        "txn_markers": lambda s, d: txn.markers(txn.ranges(_txn(s, d), _rec(s, d))),
+        "recent_batches": _recent,
+        "insert_if_absent": lambda s, d: sequencer.insert_if_absent(_t(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("v")), _t(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")), ["k"]),
+        "partition_leader": lambda s, d: routing.partition_leader(_parts(s, d), _parts(s, d).where("part = 2").withColumns({"owner": F.lit(3), "leader_epoch": F.lit(4)}), [1, 2, 3], 1),
         "replay_records": _replay,
         "offset_for_leader_epoch": _epochs,
         "describe_cluster": lambda s, d: routing.cluster(s, BROKERS, 2, "logs"),
@@ -230,6 +244,11 @@ def oracle_sql() -> dict[str, str]:
  max(CASE WHEN kind IN ('commit','abort') THEN seq END) OVER (PARTITION BY producer ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_seq FROM ends)
  SELECT CAST(floor(seq / 64) AS BIGINT) AS commit_seq, producer AS producer_id, max(epoch) AS epoch FROM m WHERE init_seq IS NOT NULL AND (end_seq IS NULL OR end_seq < init_seq) GROUP BY ALL""",
         "txn_expired": f"WITH {TXN}, o AS (SELECT producer, max(seq) AS init_seq FROM txn WHERE kind IN ('init','commit','abort') GROUP BY producer HAVING arg_max(kind, seq) = 'init') SELECT * FROM o WHERE 12000 - init_seq > 2100",
+        "txn_markers": f"WITH {ranges} SELECT producer, init_seq, topic, part, last_offset + 1 AS after, CAST(CASE WHEN state = 'committed' THEN 1 ELSE 0 END AS INTEGER) AS type FROM rng WHERE state IN ('committed', 'aborted')",
+        "recent_batches": f"""WITH {IDEM}, f AS (SELECT producer_id, topic, partition, producer_epoch, base_sequence, min(commit_seq) AS commit_seq, arg_min(batch_idx, commit_seq * 10 + batch_idx) AS idx FROM idem WHERE producer_id >= 0 GROUP BY ALL)
+ SELECT producer_id, topic, partition, producer_epoch, base_sequence, commit_seq, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY producer_id, topic, partition, producer_epoch ORDER BY commit_seq DESC, idx DESC) AS r FROM f) WHERE r <= 5""",
+        "insert_if_absent": "SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY o_custkey",
+        "partition_leader": f"WITH keyed AS (SELECT DISTINCT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, hex(encode(event_type)) || printf('%08X', CAST(user_id % 4 AS INTEGER)) AS hx FROM events), {FNV} SELECT topic, part, CAST(CASE WHEN part = 2 THEN 3 ELSE h % 3 + 1 END AS INTEGER) AS leader, CAST(CASE WHEN part = 2 THEN 4 ELSE 0 END AS INTEGER) AS leader_epoch FROM hashed",
         "replay_records": f"""WITH {REC}, e AS (SELECT CAST(CASE topic {topic} END + part AS INTEGER) AS part, off, event_id AS id, event_id % 23 AS kind, off AS seq FROM rec),
  n AS (SELECT part, count(*) - part % 3 AS n FROM e GROUP BY part), c AS (SELECT part, off, seq, kind FROM e WHERE kind <> 7 UNION ALL SELECT part, 10000000000 + id, seq, kind FROM e WHERE kind <> 7 AND id % 29 = 0),
  f AS (SELECT c.part, off, seq, c.kind, CASE c.kind WHEN 1 THEN 'invalid_key' WHEN 2 THEN 'invalid_value' WHEN 3 THEN 'partition_mismatch' WHEN 4 THEN 'sequence_mismatch' ELSE CASE WHEN seq >= n THEN 'unacknowledged' END END AS fault FROM c JOIN n USING (part)),

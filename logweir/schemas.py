@@ -1,12 +1,7 @@
 """Table schemas of the log model, as DDL: plain text needs no session where it is imported."""
 
-RECORDS = "topic STRING, partition INT, offset BIGINT, ts TIMESTAMP, key BINARY, value BINARY, headers ARRAY<STRUCT<k: STRING, v: BINARY>>, producer_id BIGINT, producer_epoch SMALLINT, sequence INT, is_txn BOOLEAN, object_id STRING"
 BATCHES = "commit_seq BIGINT, batch_idx INT, object_id STRING, topic STRING, partition INT, producer_id BIGINT, producer_epoch INT, base_sequence INT, record_count INT, byte_start BIGINT, byte_len BIGINT"
-OUTCOMES = "commit_seq BIGINT, batch_idx INT, object_id STRING, topic STRING, partition INT, outcome STRING, base_offset BIGINT, record_count INT, error STRING, expected BIGINT, got BIGINT"
-OBJECT_INDEX = "topic STRING, partition INT, object_id STRING, byte_start BIGINT, byte_len BIGINT, base_offset BIGINT, record_count INT, end_offset BIGINT"
-TXN_EVENTS = "seq BIGINT, kind STRING, transactional_id STRING, producer_id BIGINT, group_id STRING, topic STRING, partition INT, offset BIGINT"
 GROUP_OFFSETS = "seq BIGINT, group_id STRING, topic STRING, partition INT, offset BIGINT"
-MEMBER_EVENTS = "seq BIGINT, group_id STRING, member_id STRING, kind STRING"
 BROKERS = "node_id INT, host STRING, port INT"
 TOPICS = "topic STRING, partitions INT"
 
