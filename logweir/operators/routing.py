@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fnv import big_endian_32, fnv1a, unsigned_mod
 from ..functions.prefix import exclusive_sum
+from ..schemas import BROKERS
 
 
 def parse_peers(peers: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def membership(brokers: list[tuple[int, str, int]], self_id: int | None = None)
 
 def cluster(spark: SparkSession, brokers: list[tuple[int, str, int]], self_id: int, cluster_id: str) -> DataFrame:
     """A cluster's description: every broker, which one answers, and the controller, the smallest id."""
-    d = spark.createDataFrame(membership(brokers, self_id), "node_id INT, host STRING, port INT")
+    d = spark.createDataFrame(membership(brokers, self_id), BROKERS)
     return d.withColumns({"cluster_id": F.lit(cluster_id), "is_self": F.col("node_id") == self_id, "is_controller": F.col("node_id") == min(b[0] for b in brokers)})
 
 
