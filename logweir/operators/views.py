@@ -128,6 +128,13 @@ def lag(pst: DataFrame, committed: DataFrame) -> DataFrame:
     return committed.join(pst, KEYS).select("grp", *KEYS, "hw", "committed", (F.col("hw") - F.col("committed")).alias("lag"))
 
 
+def describe_topics(parts: DataFrame, leaders: DataFrame, hw: DataFrame, starts: DataFrame) -> DataFrame:
+    """Every partition with its leader and epoch and the offsets it holds; 0 where nothing was written."""
+    d = parts.join(leaders, KEYS, "left").join(hw, KEYS, "left").join(starts, KEYS, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return d.select(*KEYS, "leader", "leader_epoch", zero("hw"), zero("log_start"))
+
+
 def log_dirs(bat: DataFrame) -> DataFrame:
     """Bytes and batches of each partition."""
     return bat.groupBy(*KEYS).agg(F.sum("byte_len").cast("long").alias("bytes"), F.count("*").alias("batches"))

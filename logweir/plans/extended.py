@@ -169,6 +169,13 @@ def _parts(spark, d):
     return _bat(spark, d).select("topic", "part").distinct()
 
 
+def _described(spark, d):
+    parts = _parts(spark, d).withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 4))).distinct()
+    leaders = routing.partition_leader(parts, parts.where("part = 2").withColumns({"owner": F.lit(3), "leader_epoch": F.lit(4)}), [1, 2, 3], 1)
+    cuts = _t(spark, d, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part"), F.floor(F.col("event_id") / 40).alias("off"))
+    return views.describe_topics(parts, leaders, _hw(spark, d), views.log_start_offset(_bat(spark, d), cuts))
+
+
 def _arrivals(spark, d):
     e = _t(spark, d, "events")
     return e.select((F.col("user_id") % 4).cast("int").alias("broker"), F.col("event_id").alias("seq"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), (F.length("props") + 28).cast("long").alias("bytes"))
@@ -193,6 +200,7 @@ def queries() -> dict:
         "recent_batches": _recent,
         "insert_if_absent": lambda s, d: sequencer.insert_if_absent(_t(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("v")), _t(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")), ["k"]),
         "partition_leader": lambda s, d: routing.partition_leader(_parts(s, d), _parts(s, d).where("part = 2").withColumns({"owner": F.lit(3), "leader_epoch": F.lit(4)}), [1, 2, 3], 1),
+        "describe_topics": _described,
         "replay_records": _replay,
         "offset_for_leader_epoch": _epochs,
         "describe_cluster": lambda s, d: routing.cluster(s, BROKERS, 2, "logs"),
@@ -249,6 +257,9 @@ def oracle_sql() -> dict[str, str]:
  SELECT producer_id, topic, partition, producer_epoch, base_sequence, commit_seq, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY producer_id, topic, partition, producer_epoch ORDER BY commit_seq DESC, idx DESC) AS r FROM f) WHERE r <= 5""",
         "insert_if_absent": "SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY o_custkey",
         "partition_leader": f"WITH keyed AS (SELECT DISTINCT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, hex(encode(event_type)) || printf('%08X', CAST(user_id % 4 AS INTEGER)) AS hx FROM events), {FNV} SELECT topic, part, CAST(CASE WHEN part = 2 THEN 3 ELSE h % 3 + 1 END AS INTEGER) AS leader, CAST(CASE WHEN part = 2 THEN 4 ELSE 0 END AS INTEGER) AS leader_epoch FROM hashed",
+        "describe_topics": f"""WITH {BAT}, keyed AS (SELECT topic, CAST(part + k AS INTEGER) AS part, hex(encode(topic)) || printf('%08X', part + k) AS hx FROM (SELECT DISTINCT topic, part FROM bat), (SELECT unnest([0, 4]) AS k)), {FNV},
+ h AS (SELECT topic, part, max(base_offset + record_count) AS hw FROM bat GROUP BY ALL), c AS (SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS part, max(CAST(floor(event_id / 40) AS BIGINT)) AS cut FROM events GROUP BY ALL)
+ SELECT topic, part, CAST(CASE WHEN part = 2 THEN 3 ELSE h % 3 + 1 END AS INTEGER) AS leader, CAST(CASE WHEN part = 2 THEN 4 ELSE 0 END AS INTEGER) AS leader_epoch, coalesce(hw, 0) AS hw, coalesce(cut, 0) AS log_start FROM hashed LEFT JOIN h USING (topic, part) LEFT JOIN c USING (topic, part)""",
         "replay_records": f"""WITH {REC}, e AS (SELECT CAST(CASE topic {topic} END + part AS INTEGER) AS part, off, event_id AS id, event_id % 23 AS kind, off AS seq FROM rec),
  n AS (SELECT part, count(*) - part % 3 AS n FROM e GROUP BY part), c AS (SELECT part, off, seq, kind FROM e WHERE kind <> 7 UNION ALL SELECT part, 10000000000 + id, seq, kind FROM e WHERE kind <> 7 AND id % 29 = 0),
  f AS (SELECT c.part, off, seq, c.kind, CASE c.kind WHEN 1 THEN 'invalid_key' WHEN 2 THEN 'invalid_value' WHEN 3 THEN 'partition_mismatch' WHEN 4 THEN 'sequence_mismatch' ELSE CASE WHEN seq >= n THEN 'unacknowledged' END END AS fault FROM c JOIN n USING (part)),
