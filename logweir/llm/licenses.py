@@ -51,6 +51,7 @@ OTHER = [
 # Every template holds one of these; a line without any is no notice by itself.
 ANCHORS = ["licen", "is hereby granted", "permission is hereby", "redistribution", "unencumbered", "cc by", "gpl"]
 LEAST_OVERLAP = 0.6
+CERTAIN = 0.75  # overlap from which a line stands whatever the rest of its paragraph holds
 WINDOWS = (16, 32, 64)  # words; a window starts at every quarter
 
 
@@ -157,7 +158,7 @@ def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = No
     """docs (doc_id, text, ...) -> doc_id, n_notices, families (distinct, sorted), notices: an array of
     (paragraph from 0, family, probability, overlap), by paragraph, which is the number of a line.
 
-    A line that is a notice by itself is one. A paragraph between blank lines gives its best window of each further
+    A line that is a notice by itself is one, unless it holds less than three quarters of a template and its paragraph, of which it is a part, holds more of another family's. A paragraph between blank lines gives its best window of each further
     family, at its first line; of windows that overlap, the one with more of a template decides the family.
 
     A null or empty text has none. Rows stay as they are, repeated ones and null ids too.
@@ -248,6 +249,9 @@ def notices(docs: DataFrame, least: float = 0.5, model: LicenceModel | None = No
     d = d.select("doc_id", "found", F.transform("paras", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), once(F.regexp_extract_all(F.lower(x["p"]), F.lit(WORD), F.lit(0)), lambda w: F.when(enough(w), windows(w))).alias("w"))).alias("paras"))
     d = d.select("doc_id", "found", F.filter("paras", lambda x: F.coalesce(F.size(x["w"]), F.lit(0)) > 0).alias("paras"))
     d = d.select("doc_id", "found", F.transform("paras", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), F.transform(x["w"], lambda v: F.struct(v["at"].alias("at"), v["n"].alias("n"), once(weighed(v["w"]), lambda z: judged(x["first"], z)).alias("j"))).alias("w"))).alias("paras"))
+    better = lambda x, v: holds(v["j"]) & (v["j"]["family"] != x["family"]) & (v["j"]["overlap"] > x["overlap"])
+    part = lambda x: F.exists("paras", lambda p: (p["first"] < p["last"]) & x["paragraph"].between(p["first"], p["last"]) & F.exists(p["w"], lambda v: better(x, v)))
+    d = d.select("doc_id", F.filter("found", lambda x: (x["overlap"] >= CERTAIN) | ~F.coalesce(part(x), F.lit(False))).alias("found"), "paras")
     further = F.transform("paras", lambda x: once(F.filter(x["w"], lambda v: holds(v["j"])), lambda w: best(w, x["first"], x["last"], F.col("found"))))
     d = d.select("doc_id", "found", F.coalesce(F.flatten(further), F.array().cast(kind)).alias("further"))
     d = d.select("doc_id", F.sort_array(F.concat("found", "further")).alias("notices"))

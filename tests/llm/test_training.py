@@ -136,15 +136,15 @@ def test_contaminated_windows_against_all_windows():
 def test_positions_in_parts_and_long_items(monkeypatch):
     rng = random.Random(3)
     stem = "the stem that all items share, word for word. "
-    texts = [normal(stem + " ".join(str(rng.randrange(10**6)) for _ in range(14))) for _ in range(300)]
-    items = Items(list(range(300)), texts, 80, 0.08)
-    doc = " ".join([stem * 5, texts[17].decode(), "something else", texts[250].decode()[:90], stem])
+    texts = [normal(stem + " ".join(str(rng.randrange(10**6)) for _ in range(14))) for _ in range(90)]
+    items = Items(list(range(90)), texts, 80, 0.08)
+    doc = " ".join([stem * 5, texts[17].decode(), "something else", texts[70].decode()[:90], stem])
     whole = items.found(doc)
-    monkeypatch.setattr(decontam, "EXPANDED", 5000)
-    assert items.found(doc) == whole and {17, 250} <= {v[0] for v in whole}
-    long = normal(" ".join(str(rng.randrange(10**7)) for _ in range(220_000)))  # over a megabyte
+    monkeypatch.setattr(decontam, "EXPANDED", 1500)
+    assert items.found(doc) == whole and {17, 70} <= {v[0] for v in whole}
+    long = normal(" ".join(str(rng.randrange(10**7)) for _ in range(160_000)))  # over a megabyte
     two = Items([1, 2], [long, normal("an item of its own that nobody copies, long enough to be a window of eighty bytes or so")], 80, 0.08)
-    assert {v[0] for v in two.found("x " + long[1_400_000:1_400_200].decode() + " y")} == {0}
+    assert {v[0] for v in two.found("x " + long[1_150_000:1_150_200].decode() + " y")} == {0}
 
 
 def plain_novelty(before, value, after):
@@ -211,7 +211,7 @@ def test_licence_families_on_held_out_wraps(spark):
     extra = sum(bool(got[i] - {w}) for i, w in enumerate(want) if w)
     wrong = sum(bool(got[i]) for i, w in enumerate(want) if not w)
     named = sum(w is not None for w in want)
-    assert hit / named >= 0.95 and extra / named <= 0.08 and wrong == 0
+    assert hit / named >= 0.95 and extra / named <= 0.03 and wrong == 0
 
 
 def test_spans_of_findings(spark):
