@@ -79,13 +79,14 @@ def differs(n0, n1, total0, total1, root):
 
 
 def bag(text: str, keep: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of sentences; the kept n-grams of the text and the sentence of each."""
+    """Number of sentences; the kept n-grams of the text, sentence by sentence, and how many each sentence has."""
     ids, at = grams(text)
     if not len(at):
         return 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
     inst = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, ids.shape[1])))
     kept = keep[ids]
-    return len(at), np.concatenate([row[k] for row, k in zip(ids, kept, strict=True)]), np.concatenate([inst[k] for k in kept])
+    found, inst = np.concatenate([row[k] for row, k in zip(ids, kept, strict=True)]), np.concatenate([inst[k] for k in kept])
+    return len(at), found[np.argsort(inst, kind="stable")], np.bincount(inst, minlength=len(at)).astype(np.int32)
 
 
 def constant(labels: list[int]) -> ToxicityModel:
@@ -106,15 +107,14 @@ def train(texts: list[str], labels: list[int], zmin: float = 5.5, **kw) -> Toxic
 
 
 def learn(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ToxicityModel:
-    """Adagrad on the noisy-or's log loss of bags (sentences, n-grams, their sentences, label)."""
+    """Adagrad on the noisy-or's log loss of bags (number of sentences, n-grams, how many of them each sentence has, label)."""
     y = np.array([b[3] for b in bags], float)
     sizes = np.array([b[0] for b in bags])
     n = int(sizes.sum())
     if not n:
         return ToxicityModel(np.zeros(len(GRAMS) << BITS), -12.0)
-    first = np.cumsum(sizes) - sizes
     f = np.concatenate([b[1] for b in bags])
-    inst = np.concatenate([b[2] + at for b, at in zip(bags, first, strict=True)])
+    inst = np.repeat(np.arange(n), np.concatenate([b[2] for b in bags]))
     of = np.repeat(np.arange(len(bags)), sizes)
     used, f = np.unique(f, return_inverse=True)
     w, gw, b, gb = np.zeros(len(used)), np.full(len(used), 1e-6), START, 1e-6
