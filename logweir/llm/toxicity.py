@@ -78,14 +78,26 @@ def differs(n0, n1, total0, total1, root):
     return root(gap * gap) / root((whole * (1 - whole) + 1e-9) * (1 / total0 + 1 / total1))
 
 
-def bag(text: str, keep: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of sentences; the kept n-grams of the text, sentence by sentence, and how many each sentence has."""
+def ranks(kept: np.ndarray) -> np.ndarray:
+    """n-gram -> its place among the kept ones, or -1."""
+    out = np.full(len(GRAMS) << BITS, -1, np.int32)
+    out[kept] = np.arange(len(kept))
+    return out
+
+
+def small(n: int) -> np.dtype:
+    """The smallest type that holds numbers below n."""
+    return np.min_scalar_type(max(1, n))
+
+
+def bag(text: str, rank: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of sentences; the places of the text's kept n-grams, sentence by sentence, and how many each sentence has."""
     ids, at = grams(text)
     if not len(at):
         return 0, np.zeros(0, np.int32), np.zeros(0, np.int32)
     inst = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, ids.shape[1])))
-    kept = keep[ids]
-    found, inst = np.concatenate([row[k] for row, k in zip(ids, kept, strict=True)]), np.concatenate([inst[k] for k in kept])
+    at_kept = rank[ids]
+    found, inst = np.concatenate([row[row >= 0] for row in at_kept]), np.concatenate([inst[row >= 0] for row in at_kept])
     return len(at), found[np.argsort(inst, kind="stable")], np.bincount(inst, minlength=len(at)).astype(np.int32)
 
 
@@ -102,12 +114,13 @@ def train(texts: list[str], labels: list[int], zmin: float = 5.5, **kw) -> Toxic
     df = np.zeros((2, len(GRAMS) << BITS))
     for k, t in enumerate(texts):
         df[labels[k], np.unique(grams(t)[0])] += 1
-    keep = differs(df[0], df[1], (y == 0).sum(), (y == 1).sum(), np.sqrt) >= zmin
-    return learn([(*bag(t, keep), label) for t, label in zip(texts, labels, strict=True)], **kw)
+    kept = np.flatnonzero(differs(df[0], df[1], (y == 0).sum(), (y == 1).sum(), np.sqrt) >= zmin)
+    rank = ranks(kept)
+    return learn([(*bag(t, rank), label) for t, label in zip(texts, labels, strict=True)], kept, **kw)
 
 
-def learn(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ToxicityModel:
-    """Adagrad on the noisy-or's log loss of bags (number of sentences, n-grams, how many of them each sentence has, label)."""
+def learn(bags: list[tuple[int, np.ndarray, np.ndarray, int]], kept: np.ndarray, steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> ToxicityModel:
+    """Adagrad on the noisy-or's log loss of bags (number of sentences, places of n-grams among the kept, how many each sentence has, label)."""
     y = np.array([b[3] for b in bags], float)
     sizes = np.array([b[0] for b in bags])
     n = int(sizes.sum())
@@ -127,7 +140,7 @@ def learn(bags: list[tuple[int, np.ndarray, np.ndarray, int]], steps: int = 60,
         gb += db * db
         b -= rate * db / np.sqrt(gb)
     full = np.zeros(len(GRAMS) << BITS)
-    full[used] = w
+    full[kept[used]] = w
     return ToxicityModel(full, float(b))
 
 
@@ -153,11 +166,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bags(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(len(GRAMS) << BITS, bool)
-        keep[shared.value] = True
+        rank, kind = ranks(shared.value), small(len(shared.value))
         for b in rebatch(batches):
-            got = [bag(t, keep) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "n", "grams", "sentences"])
+            got = [bag(t, rank) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1].astype(kind).tobytes() for g in got], pa.binary()), pa.array([g[2].tobytes() for g in got], pa.binary())], names=["doc_id", "label", "n", "grams", "sentences"])
 
     return tidy(run)
 
@@ -195,10 +207,11 @@ class ToxicityClassifier:
             return self
         df = text.select("text", "label").mapInArrow(_counts, "gram int, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         kept = df.where(differs(F.col("n0"), F.col("n1"), n[0], n[1], F.sqrt) >= self.zmin).select("gram").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r.gram for r in kept), np.int64))
+        kept = np.array(sorted(r.gram for r in kept), np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast(kept)
         got = text.mapInArrow(_bags(shared), "doc_id long, label int, n int, grams binary, sentences binary").collect()
         got = sorted((r.doc_id, r.label, r.n, bytes(r.grams), bytes(r.sentences)) for r in got)
-        self.model = learn([(g[2], np.frombuffer(g[3], np.int32), np.frombuffer(g[4], np.int32), g[1]) for g in got])
+        self.model = learn([(g[2], np.frombuffer(g[3], small(len(kept))), np.frombuffer(g[4], np.int32), g[1]) for g in got], kept)
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
