@@ -77,11 +77,11 @@ def _codes(seed: int, tables: int):
     return run
 
 
-EDGES = "a binary, b binary, sim double"
+EDGES = "a long, b long, sim double"
 
 
 def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["a", "b", "sim"])
 
 
 def _along(width: int, best: int):
@@ -176,20 +176,19 @@ PACKED = "label string, dim int, own int, n int, nodes binary, comps binary, cop
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, dim, own, node, comp, copies, vec), sorted by the first three -> a row for each block. Nodes have 16 bytes."""
+    """Rows (label, dim, own, node, comp, copies, vec), sorted by the first three -> a row for each block, whose columns are arrays of 8-byte numbers."""
     for label, dim, own, node, comp, copies, raw in _groups(batches, 3):
-        cols = [[label[0]], [dim[0]], [own[0]], [len(node)], [b"".join(node)], [b"".join(comp)], [np.array(copies, "<i8").tobytes()], [b"".join(raw)]]
+        cols = [[label[0]], [dim[0]], [own[0]], [len(node)], *[[np.array(x, "<i8").tobytes()] for x in (node, comp, copies)], [b"".join(raw)]]
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
 
 
-FOUND = "node binary, links long, joined long, other binary"
+FOUND = "node long, links long, joined long, other long"
 
 
 class _Block:
     def __init__(self, n: int, nodes: bytes, comps: bytes, copies: bytes, vecs: bytes):
-        cut = lambda x: [x[i : i + 16] for i in range(0, 16 * n, 16)]
-        self.node, self.comp, self.copies = cut(nodes), cut(comps), np.frombuffer(copies, "<i8")
+        self.node, self.comp, self.copies = (np.frombuffer(x, "<i8") for x in (nodes, comps, copies))
         v = np.frombuffer(vecs, "<f8").reshape(n, -1)
         self.x = unit([v.tobytes()], n)
         self.links, self.joined = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -200,13 +199,12 @@ def _exact(threshold: float):
     and how many of them lie within its component (other is null); pairs of components (node, other) that links join."""
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(),) * 4
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["node", "links", "joined", "other"])
 
     def meet(a: _Block, b: _Block, rows: list[tuple]) -> None:
-        ids = {c: i for i, c in enumerate(dict.fromkeys([*a.comp, *b.comp]))}
-        names, sets = list(ids), UnionFind()
-        of_a, of_b = (np.array([ids[c] for c in x.comp]) for x in (a, b))
+        names, sets = np.unique(np.concatenate([a.comp, b.comp])).tolist(), UnionFind()
+        of_a, of_b = (np.searchsorted(names, x.comp) for x in (a, b))
         for at in range(0, len(a.node), STRIP):
             hit = a.x[at : at + STRIP] @ b.x.T >= threshold
             if a is b:
@@ -223,7 +221,7 @@ def _exact(threshold: float):
                 if sets.union(x, y):
                     rows.append((names[x], 0, 0, names[y]))
         for x in (a,) if a is b else (a, b):
-            rows += [(x.node[i], int(x.links[i]), int(x.joined[i]), None) for i in np.flatnonzero(x.links)]
+            rows += [(int(x.node[i]), int(x.links[i]), int(x.joined[i]), None) for i in np.flatnonzero(x.links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, u, v, _, *cols in _groups(rebatch(batches, 1), 4):
@@ -240,10 +238,10 @@ def _exact(threshold: float):
 
 class EmbeddingNeighbours:
     """k: bound of a neighbour list, doubled each turn in which it is full of links, doublings times at most. tables, width: sorted orders of the start, and rows looked ahead in each.
-    turns: refinements at most; they end when less than 2 % of the lists' places change, or when one after the first finds no link. audited: all links, in both directions; measured: the share
+    turns: refinements at most; they end when less than 2 % of the lists' places change, or when one after the first adds less than 0.2 % of the links. audited: all links, in both directions; measured: the share
     of them whose ends the descent had joined by itself, which tells nothing if audited is 0."""
 
-    def __init__(self, threshold: float = 0.93, k: int = 10, tables: int = 6, width: int = 8, turns: int = 4, reverse: int = 24, doublings: int = 2):
+    def __init__(self, threshold: float = 0.93, k: int = 10, tables: int = 5, width: int = 8, turns: int = 4, reverse: int = 24, doublings: int = 2):
         self.threshold, self.k, self.tables, self.width, self.turns, self.reverse, self.doublings = threshold, k, tables, width, turns, reverse, doublings
         self.measured: float | None = None
         self.audited: int | None = None
@@ -285,9 +283,9 @@ class EmbeddingNeighbours:
         rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
         t = work.stage(rows.mapInArrow(_read, READ), "vectors")
         vecs = t.where("node IS NOT NULL").groupBy("node", "label", "dim").agg(F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
-        vecs = work.stage(vecs, "classes")
+        vecs = work.stage(vecs.withColumnRenamed("node", "print").withColumn("node", F.monotonically_increasing_id()), "classes")
         total = vecs.count()
-        codes = vecs.select("node", "label", "dim", "vec").mapInArrow(_codes(1000, self.tables), "tab int, label string, dim int, code long, node binary, vec binary")
+        codes = vecs.select("node", "label", "dim", "vec").mapInArrow(_codes(1000, self.tables), "tab int, label string, dim int, code long, node long, vec binary")
         codes = codes.repartitionByRange("tab", "label", "dim", "code", "node").sortWithinPartitions("tab", "label", "dim", "code", "node")
         seen = work.stage(codes.mapInArrow(_along(self.width, 3), EDGES), "edges")
         close = seen.where(F.col("sim") >= self.threshold)
@@ -299,21 +297,21 @@ class EmbeddingNeighbours:
             old, lists = lists, work.stage(self._top(both, turn), "lists")
             work.drop(old)
             changed, linked = lists.where(F.col("born") == turn).agg(F.count("*"), F.sum((F.col("sim") >= self.threshold).cast("long"))).first()
-            if changed < 0.02 * total * self.k or (turn > 1 and not linked):
+            if changed < 0.02 * total * self.k or (turn > 1 and (linked or 0) <= 0.002 * lists.where(F.col("sim") >= self.threshold).count()):
                 break
         comps = connected_components(work, close.select("a", "b"))
         of = vecs.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        of = work.stage(of.select("node", "label", "dim", "copies", "rep", "comp", "vec"), "joined")
+        of = work.stage(of.select("node", "print", "label", "dim", "copies", "rep", "comp", "vec"), "joined")
         found = work.stage(self._all_pairs(of), "found")
         got = found.agg(F.sum("links"), F.sum("joined")).first()
         self.audited = got[0] or 0
         self.measured = got[1] / got[0] if got[0] else 1.0
         roots = connected_components(work, found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
         roots = roots.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        of = of.select("node", "copies", "rep", "comp").join(roots, "comp", "left").select("node", "copies", "rep", F.coalesce("root", "comp").alias("comp"))
+        of = of.select("node", "print", "copies", "rep", "comp").join(roots, "comp", "left").select("node", "print", "copies", "rep", F.coalesce("root", "comp").alias("comp"))
         counts = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
-        least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        res = of.join(least, "comp").join(counts, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        least = work.stage(of.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")  # a written side lets hot components be split
+        res = of.join(least, "comp").join(counts, "node", "left").select(F.col("print").alias("node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
         res = work.stage(res, "result")
         out = t.select("vec_id", "node").join(res, "node", "left")
         cid = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
