@@ -103,7 +103,7 @@ def test_odd_documents(spark, tmp_path):
         out = stage(spark, out, str(tmp_path))
         assert out.columns == docs.columns, name
     left = sorted((r.doc_id or 0, r.text or "", r.node) for r in out.collect())
-    assert [(i, k) for i, _, k in left] == [(0, 2), (0, 1), (1, 3), (2, 5), (2, 4), (3, 6)] and left[-1][1] == long
+    assert [(i, k) for i, _, k in left] == [(0, 2), (0, 1), (1, 3), (2, 4), (2, 5), (3, 6)] and left[-1][1] == long
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len({r.doc_id for r in pieces}) == 4 and sum(r.start == 0 for r in pieces) == 6
     for i in (3,):
